@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chunks import ChunkMemo
-from tidegauge.llm.common import table, text_slices
+from tidegauge.llm.common import WIDE_SLICE_BYTES, table, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Remembered pairs of adjacent tokens, and the longest chunk kept in the memo of pieces.
-MAX_PAIRS = 2_000_000
-MAX_PIECES = 1_000_000
+MAX_PAIRS = 400_000
+MAX_PIECES = 200_000
 MAX_PIECE_CHARS = 64
 
 
@@ -136,12 +136,12 @@ def encoder(path: str) -> BytePairEncoder:
 def piece_memo(path: str, pattern: str) -> ChunkMemo:
     """Memo over chunks; a new chunk is cut by the pattern and each match encoded for itself."""
     bpe, pieces = encoder(path), regex.compile(pattern)
-    known: dict[str, list[int]] = {}
+    known: dict[str, tuple[int, ...]] = {}
 
-    def one(piece: str) -> list[int]:
+    def one(piece: str) -> tuple[int, ...]:
         ids = known.get(piece)
         if ids is None:
-            ids = bpe.encode(piece.encode())
+            ids = tuple(bpe.encode(piece.encode()))
             if len(piece) <= MAX_PIECE_CHARS:
                 if len(known) > MAX_PIECES:
                     known.clear()
@@ -191,7 +191,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def _encoded(batches: Iterator[pa.RecordBatch], memo: ChunkMemo) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for whole in batches:
-        for batch in text_slices(whole, "text"):
+        for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
             ids, ends = memo.encode_batch(batch.column("text"))
             yield batch.column("doc_id"), [ids[a:b] for a, b in pairwise([0, *ends.tolist()])]
 

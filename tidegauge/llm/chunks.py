@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 
 from tidegauge.llm.common import gather
 
-MAX_CHUNKS = 1_000_000
-MAX_IDS = 8_000_000
+MAX_CHUNKS = 400_000
+MAX_IDS = 4_000_000
+MAX_WORDS = 200_000
 
 #: White space of Unicode, and what Python counts as such beside it.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -151,7 +152,7 @@ def _word_encoder(path: str, lower: bool, keeps_space: bool) -> Callable[[str],
     def piece(text: str) -> tuple[int, ...]:
         ids = known.get(text)
         if ids is None:
-            if len(known) > MAX_CHUNKS:
+            if len(known) > MAX_WORDS:
                 known.clear()
             if text.isascii() and (text.isalpha() or (text[0] == " " and text[1:].isalpha())):
                 mapped = text.replace(" ", to_letters[" "])

@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one Python step holds at a time; longer single texts are still taken whole.
-SLICE_BYTES = 16 << 20
+#: Text bytes that one Python step works on at a time; longer single texts are still taken whole. Steps that hold many
+#: numbers a byte take the first, lookups that cost something a call the second.
+SLICE_BYTES = 1 << 20
+WIDE_SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +63,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch with about SLICE_BYTES of text each."""
+def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about size bytes of text each."""
     col = batch.column(column)
     if len(col) == 0:
         return
@@ -70,7 +72,7 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     offsets = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
     start = 0
     while start < len(col):
-        end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         end = min(len(col), max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidegauge.llm.common import table, text_slices
+from tidegauge.llm.common import WIDE_SLICE_BYTES, table, text_slices
 
 #: The model is fitted on about this many documents of each language (all, where there are fewer).
 TRAIN_DOCS = 300
@@ -28,7 +28,7 @@ SMOOTHING = 0.5
 #: The score is a softmax over the evidence of at most this many words, so that it does not saturate on long texts.
 EVIDENCE_WORDS = 20
 UNKNOWN = "und"
-MAX_MEMO = 500_000
+MAX_MEMO = 200_000
 MIN_SCORE = 0.5
 
 
@@ -81,7 +81,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 of_lang = batch.filter(pc.equal(batch.column("lang"), lang))
-                for part in text_slices(of_lang, "text"):
+                for part in text_slices(of_lang, "text", WIDE_SLICE_BYTES):
                     counted = pc.value_counts(words_of(part.column("text"))[0])
                     for word, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True):
                         if word:
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 langs, score = score_texts(model, batch.column("text"))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score)], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chunks import library_memo
-from tidegauge.llm.common import cut_lineage, table, text_slices
+from tidegauge.llm.common import WIDE_SLICE_BYTES, cut_lineage, table, text_slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 0
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_memo(vocabulary, False)
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 ids, ends = memo.encode_batch(batch.column("text"), end_id)
                 starts = np.concatenate([[0], ends[:-1]])
                 total = ends - starts

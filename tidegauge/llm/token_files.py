@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chunks import library_memo
-from tidegauge.llm.common import fresh_path, partitions, table, text_slices
+from tidegauge.llm.common import WIDE_SLICE_BYTES, fresh_path, partitions, table, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -33,7 +33,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_memo(vocabulary, True)
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 ids, ends = memo.encode_batch(batch.column("text"), end_id)
                 offsets = np.concatenate([[0], ends])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
