@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one Python step works on at a time; longer single texts are still taken whole. Steps that hold many
 #: numbers a byte take the first, lookups that cost something a call the second.
 SLICE_BYTES = 1 << 20
-WIDE_SLICE_BYTES = 8 << 20
+WIDE_SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,23 @@ def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) ->
         end = min(len(col), max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
+
+
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since Python workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
