@@ -5,8 +5,9 @@ the minima of many universal hash functions over its set; nodes that agree in a
 bucket no list of all pairs is made. Star rounds compare each member with the bucket's centre; a later round, with
 other centres, compares only members whose component still differs from the centre's. At the end, members outside
 their bucket's commonest component (few, since copies of one text join it by their first links) are compared with all
-members of other components there, so that every bucket is settled for each pair of components. A candidate is
-checked by signature and then on the full sets. Components come from alternating large-star and small-star.
+members of other components there, so that every bucket is settled for each pair of components. That is done block by
+block on signatures, and a pair leaves its block only if they agree closely enough, from the first band it shares. A
+candidate is checked by signature and then on the full sets. Components come from alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -24,10 +26,12 @@ from tidegauge.llm.common import cut_lineage, table, text_slices
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 25, 4
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 SEED = 17
-#: Signatures that agree in fewer places than PERCENT less this are not checked further: five standard deviations.
-SLACK_PERCENT = 20
+#: Signatures that agree in fewer places than PERCENT less this are not checked further: four standard deviations.
+SLACK_PERCENT = 15
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1_000
 #: Ids that may be broadcast (8 bytes each) when texts of some documents are fetched.
 MAX_BROADCAST_IDS = 200_000
 
@@ -189,12 +193,51 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _strays(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose signatures agree closely enough. Members
+    outside their bucket's commonest component are dealt against all members, both in blocks of at most BLOCK or so."""
+    placed = cut_lineage(placed)
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    hubs = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("hub"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("n_hub")).filter("k > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    hubs = hubs.select("bucket", "hub", blocks(F.col("n") - F.col("n_hub")).alias("a_blocks"), blocks(F.col("n")).alias("b_blocks"))
+    mixed = placed.join(hubs, "bucket").join(nodes.select("node", "signature"), "node")
+    mixed = cut_lineage(mixed.withColumn("stray", F.col("root") != F.col("hub")))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = ["bucket", "band", "node", "root", "stray", "signature"]
+    left = mixed.filter("stray").select(*own, block(F.col("a_blocks")).alias("i"), every(F.col("b_blocks")).alias("j"))
+    # Names of their own: both sides stem from one table, and a cogroup tells columns apart by where they come from.
+    right = mixed.select(*[F.col(c).alias(f"m_{c}") for c in own], every(F.col("a_blocks")).alias("m_i"), block(F.col("b_blocks")).alias("m_j"))
+
+    def compare(strays: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if strays.empty or members.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        x, y = np.stack(strays["signature"].to_numpy()), np.stack(members["m_signature"].to_numpy())
+        band, agree, earlier = int(strays["band"].iloc[0]), np.zeros((len(x), len(y)), dtype=np.int16), np.zeros((len(x), len(y)), dtype=bool)
+        for i in range(BANDS):
+            whole = np.ones_like(earlier)
+            for j in range(i * ROWS, (i + 1) * ROWS):
+                equal = x[:, j : j + 1] == y[:, j]
+                agree += equal
+                whole &= equal
+            if i < band:
+                earlier |= whole
+        node_a, node_b = strays["node"].to_numpy(), members["m_node"].to_numpy()
+        good = (100 * agree.astype(np.int64) >= (percent - SLACK_PERCENT) * len(_A)) & ~earlier & (strays["root"].to_numpy()[:, None] != members["m_root"].to_numpy())
+        good &= ~members["m_stray"].to_numpy() | (node_a[:, None] < node_b)
+        a, b = np.nonzero(good)
+        return pd.DataFrame({"a": node_a[a], "b": node_b[b]})
+
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("m_bucket", "m_i", "m_j")).applyInPandas(compare, "a long, b long")
+
+
 def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that are linked with another one."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
-    rows = nodes.filter("n_shingles > 0").select("node", F.explode(bands).alias("bucket"))
+    rows = nodes.filter("n_shingles > 0").select("node", F.posexplode(bands).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = cut_lineage(rows.join(shared, "bucket").select("bucket", "node"))
+    rows = cut_lineage(rows.join(shared, "bucket").select("bucket", "band", "node"))
     edges: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
@@ -221,13 +264,7 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         centre = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), order).alias("c"))
         pairs = placed.join(centre, "bucket").filter(F.col("root") != F.col("c.root"))
         settle(pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b")))
-    placed = cut_lineage(_with_roots(rows, roots))
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    hub = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("bucket", "hub")
-    mixed = cut_lineage(placed.join(hub, "bucket"))
-    strays = mixed.filter("root <> hub").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    rest = mixed.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("hub")).alias("in_hub"))
-    settle(strays.join(rest, "bucket").filter((F.col("root_a") != F.col("root_b")) & (F.col("in_hub") | (F.col("a") < F.col("b")))).select("a", "b"))
+    settle(_strays(_with_roots(rows, roots), nodes, percent))
     if roots is None:
         return nodes.select("node", F.col("node").alias("root")).limit(0)
     return roots
