@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Origins, the strongest first.
-ORIGINS = ("user", "claude", "stats", "context", "pack", "metadata", "rule")
+ORIGINS = ("user", "agent", "stats", "context", "pack", "metadata", "rule")
 
 
 def winners(claims: DataFrame) -> DataFrame:

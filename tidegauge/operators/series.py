@@ -99,5 +99,5 @@ def gaussian_lowpass(rows: DataFrame, keys: list[str], step: int, sigma_steps: i
 
 def segments(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
     """Runs of neighbouring steps (gaps and islands)."""
-    island = F.col("ts_ms") - F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ms")) * step
+    island = F.col("ts_ms") - F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ms")).cast("long") * step
     return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end"), F.count("*").alias("n")).drop("island")
