@@ -50,7 +50,7 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     rows = buckets.withColumn("c", F.max("value").over(order))
     rows = rows.withColumn("low", F.lag("le").over(order)).withColumn("c_low", F.lag("c").over(order))
     total = F.max("c").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("rank", total * q).filter((F.col("c") >= F.col("rank")) & (F.col("rank") > 0))
+    rows = rows.withColumn("total", total).withColumn("rank", F.col("total") * q).filter((F.col("c") >= F.col("rank")) & (F.col("total") > 0))
     at = rows.groupBy(*keys).agg(F.min_by(F.struct("le", "low", "c", "c_low", "rank"), "le").alias("b"))
     start, c0 = F.coalesce("b.low", F.lit(0.0)), F.coalesce("b.c_low", F.lit(0.0))
     inside = start + (F.col("b.le") - start) * F.try_divide(F.col("b.rank") - c0, F.col("b.c") - c0)
