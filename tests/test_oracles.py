@@ -33,4 +33,4 @@ def test_query_equals_oracle(spark, db, name):
     got, want = rows(registry.queries()[name](spark, SF).toPandas()), rows(db.sql(registry.oracle_sql()[name]).df())
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
-        assert [x if isinstance(x, str) else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b] == list(a)
+        assert [x if x is None or isinstance(x, str) else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b] == list(a)

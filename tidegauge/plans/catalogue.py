@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,26 +60,25 @@ register("hourly_means_complete", f"WITH {B}, H AS (SELECT event_type, {end(SIX)
 
 # --- selectors ---
 for _name, _where, _sql in (
-    ("sel_eq", F.col("event_type") == "click", "event_type = 'click'"),
-    ("sel_neq", F.col("event_type") != "click", "event_type <> 'click'"),
-    ("sel_regex_anchored", F.col("event_type").rlike("^(?:c.*|vie)$"), "regexp_full_match(event_type, 'c.*|vie')"),
-    ("sel_missing_label", F.coalesce(F.get_json_object("props", "$.absent"), F.lit("")) == "", "coalesce(json_extract_string(props, '$.absent'), '') = ''"),
+    ("sel_eq", lambda: F.col("event_type") == "click", "event_type = 'click'"),
+    ("sel_neq", lambda: F.col("event_type") != "click", "event_type <> 'click'"),
+    ("sel_regex_anchored", lambda: F.col("event_type").rlike("^(?:c.*|vie)$"), "regexp_full_match(event_type, 'c.*|vie')"),
+    ("sel_missing_label", lambda: F.coalesce(F.get_json_object("props", "$.absent"), F.lit("")) == "", "coalesce(json_extract_string(props, '$.absent'), '') = ''"),
 ):
-    register(_name, f"SELECT event_id, event_type, value FROM events WHERE {_sql}")(lambda s, d, w=_where: src.table(s, d, "events").filter(w).select("event_id", "event_type", "value"))
+    register(_name, f"SELECT event_id, event_type, value FROM events WHERE {_sql}")(lambda s, d, w=_where: src.table(s, d, "events").filter(w()).select("event_id", "event_type", "value"))
 
 # --- range functions: width twice the step; 1e-9 on variances keeps exact halves from rounding either way ---
-V = F.col("value")
-_OVER: dict[str, tuple[Column, str]] = {
-    "avg_over_time": (F.avg(V), "avg(value)"), "min_over_time": (F.min(V), "min(value)"), "max_over_time": (F.max(V), "max(value)"), "sum_over_time": (F.sum(V), "sum(value)"),
-    "count_over_time": (F.count(V).cast("double"), "CAST(count(value) AS DOUBLE)"), "last_over_time": (F.max_by(V, "ts_ms"), "arg_max(value, ts_ms)"), "first_over_time": (F.min_by(V, "ts_ms"), "arg_min(value, ts_ms)"),
-    "present_over_time": (F.max(F.lit(1.0)), "1.0::DOUBLE"), "stddev_over_time": (F.stddev_pop(V), "stddev_pop(value)"), "stdvar_over_time": (F.var_pop(V) + 1e-9, "var_pop(value) + 1e-9"),
-    "quantile_over_time": (F.percentile(V, F.lit(0.9)), "quantile_cont(value, 0.9)"), "deriv": (F.regr_slope(V, (F.col("ts_ms") - F.col("t")) / 1000), "regr_slope(value, (ts_ms - t) / 1000.0)"),
-    "predict_linear": (F.regr_intercept(V, (F.col("ts_ms") - F.col("t")) / 1000) + 3600 * F.regr_slope(V, (F.col("ts_ms") - F.col("t")) / 1000), "regr_intercept(value, (ts_ms - t) / 1000.0) + 3600 * regr_slope(value, (ts_ms - t) / 1000.0)"),
+_OVER: dict[str, tuple[Callable[[], Column], str]] = {
+    "avg_over_time": (lambda: F.avg(F.col("value")), "avg(value)"), "min_over_time": (lambda: F.min(F.col("value")), "min(value)"), "max_over_time": (lambda: F.max(F.col("value")), "max(value)"), "sum_over_time": (lambda: F.sum(F.col("value")), "sum(value)"),
+    "count_over_time": (lambda: F.count(F.col("value")).cast("double"), "CAST(count(value) AS DOUBLE)"), "last_over_time": (lambda: F.max_by(F.col("value"), "ts_ms"), "arg_max(value, ts_ms)"), "first_over_time": (lambda: F.min_by(F.col("value"), "ts_ms"), "arg_min(value, ts_ms)"),
+    "present_over_time": (lambda: F.max(F.lit(1.0)), "1.0::DOUBLE"), "stddev_over_time": (lambda: F.stddev_pop(F.col("value")), "stddev_pop(value)"), "stdvar_over_time": (lambda: F.var_pop(F.col("value")) + 1e-9, "var_pop(value) + 1e-9"),
+    "quantile_over_time": (lambda: F.percentile(F.col("value"), F.lit(0.9)), "quantile_cont(value, 0.9)"), "deriv": (lambda: F.regr_slope(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000), "regr_slope(value, (ts_ms - t) / 1000.0)"),
+    "predict_linear": (lambda: F.regr_intercept(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000) + 3600 * F.regr_slope(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000), "regr_intercept(value, (ts_ms - t) / 1000.0) + 3600 * regr_slope(value, (ts_ms - t) / 1000.0)"),
 }
 for _name, (_f, _sql) in _OVER.items():
     _few = "HAVING count(*) >= 2" if _name in ("deriv", "predict_linear") else ""
     register(_name, f"WITH {G}, {windows('G', SIX, HALF_DAY)} SELECT event_type, t, round({_sql}, 7) AS value FROM W GROUP BY event_type, t {_few}")(
-        lambda s, d, f=_f, few=bool(_few): rounded(ranges.over_time(src.gauge(s, d), KEY, SIX, HALF_DAY, value=f, n=F.count("*")).filter("n >= 2" if few else "n >= 1").drop("n"), "value")
+        lambda s, d, f=_f, few=bool(_few): rounded(ranges.over_time(src.gauge(s, d), KEY, SIX, HALF_DAY, value=f(), n=F.count("*")).filter("n >= 2" if few else "n >= 1").drop("n"), "value")
     )
 for _name, _back in (("lookback_instant", 0), ("offset_instant", DAY)):
     register(_name, f"WITH {G}, {windows('G', HOUR, 300_000)} SELECT event_type, CAST(t + {_back} AS BIGINT) AS t, arg_max(value, ts_ms) AS value FROM W GROUP BY ALL")(
@@ -119,7 +120,7 @@ def vector(s: SparkSession, d: str) -> DataFrame:
 
 
 for _how, _sql in {"sum": "sum(value)", "avg": "avg(value)", "min": "min(value)", "max": "max(value)", "count": "CAST(count(value) AS DOUBLE)", "group": "1.0::DOUBLE", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value) + 1e-9", "quantile": "quantile_cont(value, 0.5)"}.items():
-    register(f"agg_{_how}", f"WITH {X} SELECT t, event_type, round({_sql}, 7) AS value FROM X GROUP BY t, event_type")(lambda s, d, h=_how: rounded(vectors.aggregate(vector(s, d), KEY, h).withColumn("value", V + (1e-9 if h == "stdvar" else 0.0)), "value"))
+    register(f"agg_{_how}", f"WITH {X} SELECT t, event_type, round({_sql}, 7) AS value FROM X GROUP BY t, event_type")(lambda s, d, h=_how: rounded(vectors.aggregate(vector(s, d), KEY, h).withColumn("value", F.col("value") + (1e-9 if h == "stdvar" else 0.0)), "value"))
 register("agg_avg_without", f"WITH {X} SELECT t, instance, round(avg(value), 7) AS value FROM X GROUP BY t, instance")(lambda s, d: rounded(vectors.aggregate(vector(s, d), ["instance"], "avg"), "value"))
 for _name, _desc in (("topk", True), ("bottomk", False)):
     register(_name, f"WITH {X} SELECT t, event_type, instance, round(value, 7) AS value FROM X QUALIFY row_number() OVER (PARTITION BY t ORDER BY value {'DESC' if _desc else 'ASC'}, event_type, instance) <= 3")(
@@ -135,15 +136,15 @@ def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _SIDES = f"{X}, L AS (SELECT t, instance, value FROM X WHERE event_type = 'click'), R AS (SELECT t, instance, value FROM X WHERE event_type = 'view')"
 for _name, _value, _sql in (
-    ("vec_one_to_one_div", ieee.div(F.col("l"), F.col("r")), "L.value / R.value"),
-    ("vec_one_to_one_sub", F.col("l") - F.col("r"), "L.value - R.value"),
-    ("vec_cmp_bool", (F.col("l") > F.col("r")).cast("double"), "CAST(L.value > R.value AS DOUBLE)"),
+    ("vec_one_to_one_div", lambda: ieee.div(F.col("l"), F.col("r")), "L.value / R.value"),
+    ("vec_one_to_one_sub", lambda: F.col("l") - F.col("r"), "L.value - R.value"),
+    ("vec_cmp_bool", lambda: (F.col("l") > F.col("r")).cast("double"), "CAST(L.value > R.value AS DOUBLE)"),
 ):
-    register(_name, f"WITH {_SIDES} SELECT t, instance, round({_sql}, 7) AS value FROM L JOIN R USING (t, instance)")(lambda s, d, v=_value: rounded(vectors.match(*sides(s, d), ["instance"], v), "value"))
+    register(_name, f"WITH {_SIDES} SELECT t, instance, round({_sql}, 7) AS value FROM L JOIN R USING (t, instance)")(lambda s, d, v=_value: rounded(vectors.match(*sides(s, d), ["instance"], v()), "value"))
 register("vec_group_left", f"WITH {X}, T AS (SELECT t, event_type, sum(value) AS total FROM X GROUP BY ALL) SELECT t, event_type, instance, round(value / total, 7) AS value FROM X JOIN T USING (t, event_type)")(
     lambda s, d: rounded(vectors.match(vector(s, d), vectors.aggregate(vector(s, d), KEY, "sum"), KEY, ieee.div(F.col("l"), F.col("r")), many_to_one=True), "value")
 )
-register("vec_scalar_cmp_filter", f"WITH {X} SELECT t, event_type, instance, round(value, 7) AS value FROM X WHERE value > 50")(lambda s, d: rounded(vector(s, d).filter(V > 50), "value"))
+register("vec_scalar_cmp_filter", f"WITH {X} SELECT t, event_type, instance, round(value, 7) AS value FROM X WHERE value > 50")(lambda s, d: rounded(vector(s, d).filter(F.col("value") > 50), "value"))
 register("set_and", f"WITH {_SIDES} SELECT t, instance, round(value, 7) AS value FROM L WHERE EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance)")(lambda s, d: rounded(vectors.set_and(*sides(s, d), ["instance"]), "value"))
 register("set_unless", f"WITH {_SIDES} SELECT t, instance, round(value, 7) AS value FROM L WHERE NOT EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance)")(lambda s, d: rounded(vectors.set_unless(*sides(s, d), ["instance"]), "value"))
 register("set_or", f"WITH {_SIDES}, U AS (SELECT t, instance, value FROM L UNION ALL SELECT t, instance, value FROM R WHERE NOT EXISTS (SELECT 1 FROM L WHERE R.t = L.t AND R.instance = L.instance)) SELECT t, instance, round(value, 7) AS value FROM U")(lambda s, d: rounded(vectors.set_or(*sides(s, d), ["instance"]), "value"))
@@ -151,13 +152,13 @@ register("label_replace", f"WITH {X} SELECT t, regexp_replace(event_type, '^(.).
     lambda s, d: rounded(vector(s, d).select("t", F.regexp_replace("event_type", "^(.).*$", "$1-kind").alias("kind"), "instance", "value"), "value")
 )
 for _name, _value, _sql in (
-    ("clamp", ieee.clamp(V, 40.0, 60.0), "least(greatest(value, 40), 60)"),
-    ("round_to", ieee.round_to(V, 5.0), "floor(value / 5 + 0.5) * 5"),
-    ("math_ln", ieee.finite(ieee.ln(V)), "CASE WHEN value > 0 THEN ln(value) END"),
-    ("math_sqrt", ieee.finite(F.sqrt(F.abs(V))), "sqrt(abs(value))"),
-    ("math_mod", ieee.mod(V, F.lit(7.0)), "fmod(value, 7)"),
+    ("clamp", lambda: ieee.clamp(F.col("value"), 40.0, 60.0), "least(greatest(value, 40), 60)"),
+    ("round_to", lambda: ieee.round_to(F.col("value"), 5.0), "floor(value / 5 + 0.5) * 5"),
+    ("math_ln", lambda: ieee.finite(ieee.ln(F.col("value"))), "CASE WHEN value > 0 THEN ln(value) END"),
+    ("math_sqrt", lambda: ieee.finite(F.sqrt(F.abs(F.col("value")))), "sqrt(abs(value))"),
+    ("math_mod", lambda: ieee.mod(F.col("value"), F.lit(7.0)), "fmod(value, 7)"),
 ):
-    register(_name, f"WITH {X} SELECT t, event_type, instance, round({_sql}, 7) AS value FROM X")(lambda s, d, v=_value: rounded(vector(s, d).withColumn("value", v), "value"))
+    register(_name, f"WITH {X} SELECT t, event_type, instance, round({_sql}, 7) AS value FROM X")(lambda s, d, v=_value: rounded(vector(s, d).withColumn("value", v()), "value"))
 
 _LE = (10, 50, 100, 500)
 _LES = ", ".join(f"({e}::DOUBLE)" for e in (*_LE, "'Infinity'"))
@@ -166,7 +167,7 @@ _LES = ", ".join(f"({e}::DOUBLE)" for e in (*_LE, "'Infinity'"))
 def cumulative(s: SparkSession, d: str) -> DataFrame:
     edges = F.array(*[F.lit(float(e)) for e in _LE], F.lit(float("inf")))
     rows = src.samples(s, d).select("event_type", (F.ceil(F.col("ts_ms") / DAY) * DAY).cast("long").alias("t"), "value", F.explode(edges).alias("le"))
-    return rows.groupBy("event_type", "t", "le").agg(F.count_if(V <= F.col("le")).cast("double").alias("value"))
+    return rows.groupBy("event_type", "t", "le").agg(F.count_if(F.col("value") <= F.col("le")).cast("double").alias("value"))
 
 
 _CUM = f"{S}, H AS (SELECT event_type, {end(DAY)} AS t, le, CAST(count(*) FILTER (value <= le) AS DOUBLE) AS value FROM S, (VALUES {_LES}) e(le) GROUP BY ALL)"
@@ -180,15 +181,15 @@ register("cumulative_to_buckets", f"WITH {_CUM}, Q AS (SELECT event_type, t, le,
 
 # --- document forms ---
 for _name, _by, _aggs, _sql in (
-    ("es_rate", KEY, {"value": F.count("*") / 3600}, "count(*) / 3600.0 AS value"),
-    ("es_sum_rate", KEY, {"value": F.sum("value") / 3600}, "sum(value) / 3600 AS value"),
-    ("es_field_rate", ["instance"], {"value": F.count("value") / 3600}, "count(value) / 3600.0 AS value"),
-    ("es_stats", KEY, {"value": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "count": F.count("value")}, "avg(value) AS value, min(value) AS min, max(value) AS max, count(value) AS count"),
-    ("es_percentile_exact", KEY, {"value": F.percentile("value", F.lit(0.95)), "count": F.count("value")}, "quantile_cont(value, 0.95) AS value, count(value) AS count"),
-    ("es_composite", ["event_type", "instance"], {"value": F.sum("value")}, "sum(value) AS value"),
+    ("es_rate", KEY, lambda: {"value": F.count("*") / 3600}, "count(*) / 3600.0 AS value"),
+    ("es_sum_rate", KEY, lambda: {"value": F.sum("value") / 3600}, "sum(value) / 3600 AS value"),
+    ("es_field_rate", ["instance"], lambda: {"value": F.count("value") / 3600}, "count(value) / 3600.0 AS value"),
+    ("es_stats", KEY, lambda: {"value": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "count": F.count("value")}, "avg(value) AS value, min(value) AS min, max(value) AS max, count(value) AS count"),
+    ("es_percentile_exact", KEY, lambda: {"value": F.percentile("value", F.lit(0.95)), "count": F.count("value")}, "quantile_cont(value, 0.95) AS value, count(value) AS count"),
+    ("es_composite", ["event_type", "instance"], lambda: {"value": F.sum("value")}, "sum(value) AS value"),
 ):
     register(_name, f"WITH {S}, A AS (SELECT {', '.join(_by)}, {left_end(HOUR)} AS ts_ms, {_sql} FROM S GROUP BY {', '.join(_by)}, {left_end(HOUR)}) SELECT * REPLACE (round(value, 7) AS value) FROM A")(
-        lambda s, d, by=_by, aggs=_aggs: rounded(documents.form(src.samples(s, d), by, HOUR, **aggs), "value")
+        lambda s, d, by=_by, aggs=_aggs: rounded(documents.form(src.samples(s, d), by, HOUR, **aggs()), "value")
     )
 register("es_histogram", f"WITH {S} SELECT {left_end(DAY)} AS ts_ms, floor(value / 25) * 25 AS bucket_lo, count(*) AS count FROM S GROUP BY ALL")(lambda s, d: documents.value_histogram(src.samples(s, d), DAY, 25.0))
 register("es_range", f"WITH {S} SELECT {left_end(DAY)} AS ts_ms, CASE WHEN value >= 80 THEN 80.0::DOUBLE WHEN value >= 20 THEN 20.0::DOUBLE END AS bucket_lo, count(*) AS count FROM S GROUP BY ALL")(lambda s, d: documents.ranges(src.samples(s, d), DAY, [20.0, 80.0]))
