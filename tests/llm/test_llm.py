@@ -63,6 +63,50 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds):
+    """Families of texts at every likeness around the threshold; without star rounds, blocks alone find the links."""
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    rng = np.random.default_rng(3)
+    texts: list[str] = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(14):
+            own = base.copy()
+            for at in rng.integers(0, 60, int(rng.integers(0, 5))):
+                own[at] = f"x{rng.integers(0, 4)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == dict(enumerate(root)) and 6 < len(set(root)) < len(texts)
+
+
+def test_forest_spans_the_graph():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        good = rng.random((int(rng.integers(1, 12)), int(rng.integers(1, 12)))) < rng.random() / 2
+        rows, cols = minhash._forest(good)
+        assert good[rows, cols].all() and len(rows) <= sum(good.shape)
+
+        def parts(a, b, n=good.shape[0], m=good.shape[1]):
+            label = list(range(n + m))
+            for _ in label:
+                for x, y in zip(a, b, strict=True):
+                    label[x] = label[n + y] = min(label[x], label[n + y])
+            return label
+
+        assert parts(rows, cols) == parts(*np.nonzero(good))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
     assert {(r["node"], r["root"]) for r in minhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100), (103, 100)}

@@ -6,20 +6,21 @@ bucket no list of all pairs is made. Star rounds compare each member with the bu
 other centres, compares only members whose component still differs from the centre's. At the end, members outside
 their bucket's commonest component (few, since copies of one text join it by their first links) are compared with all
 members of other components there, so that every bucket is settled for each pair of components. That is done block by
-block on signatures, and a pair leaves its block only if they agree closely enough, from the first band it shares. A
+block: first on signatures, where each block gives a spanning forest of the pairs that agree closely enough, and then
+within the clusters so found on whole sets, where each block gives a spanning forest of true links. Before that, a
 candidate is checked by signature and then on the full sets. Components come from alternating large-star and small-star.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut_lineage, table, text_slices
@@ -32,6 +33,8 @@ SEED = 17
 SLACK_PERCENT = 15
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1_000
+#: Shingles of the members of a cluster that one task compares with as many others (8 bytes each).
+BLOCK_SHINGLES = 1_000_000
 #: Ids that may be broadcast (8 bytes each) when texts of some documents are fetched.
 MAX_BROADCAST_IDS = 200_000
 
@@ -193,19 +196,40 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _strays(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures agree closely enough. Members
-    outside their bucket's commonest component are dealt against all members, both in blocks of at most BLOCK or so."""
-    placed = cut_lineage(placed)
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    hubs = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("hub"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("n_hub")).filter("k > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    hubs = hubs.select("bucket", "hub", blocks(F.col("n") - F.col("n_hub")).alias("a_blocks"), blocks(F.col("n")).alias("b_blocks"))
-    mixed = placed.join(hubs, "bucket").join(nodes.select("node", "signature"), "node")
-    mixed = cut_lineage(mixed.withColumn("stray", F.col("root") != F.col("hub")))
+def _forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the bipartite graph good: fewer edges than rows and columns."""
+    free_row, free_col = np.ones(good.shape[0], dtype=bool), np.ones(good.shape[1], dtype=bool)
+    out_row, out_col = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for start in np.flatnonzero(good.any(axis=1)).tolist():
+        rows = np.array([start] if free_row[start] else [], dtype=np.int64)
+        free_row[start] = False
+        while len(rows):
+            open_ = good[rows] & free_col
+            cols = np.flatnonzero(open_.any(axis=0))
+            out_row.append(rows[open_[:, cols].argmax(axis=0)] if len(cols) else cols)
+            out_col.append(cols)
+            free_col[cols] = False
+            open_ = good[:, cols] & free_row[:, None]
+            rows = np.flatnonzero(open_.any(axis=1))
+            out_row.append(rows)
+            out_col.append(cols[open_[rows].argmax(axis=1)] if len(rows) else rows)
+            free_row[rows] = False
+    return np.concatenate(out_row), np.concatenate(out_col)
+
+
+def _forest_of_strays(placed: DataFrame, group: str, payload: str, weight: Column, limit: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b) over placed(group, node, root, payload): a spanning forest, block by block, of the pairs that share a
+    group, differ in root and are near. Members outside their group's commonest component are dealt against all
+    members, both in blocks of about limit by weight."""
+    placed = placed.withColumn("weight", weight.cast("long"))
+    by_root = placed.groupBy(group, "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    hubs = by_root.groupBy(group).agg(F.max_by(F.struct("root", "w"), F.struct("n", "root")).alias("hub"), F.count("*").alias("k"), F.sum("w").alias("w")).filter("k > 1")
+    blocks = lambda w: F.greatest(F.ceil(w / F.lit(limit)), F.lit(1)).cast("int")
+    hubs = hubs.select(group, F.col("hub.root").alias("hub"), blocks(F.col("w") - F.col("hub.w")).alias("a_blocks"), blocks(F.col("w")).alias("b_blocks"))
+    mixed = cut_lineage(placed.join(hubs, group).withColumn("stray", F.col("root") != F.col("hub")))
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = ["bucket", "band", "node", "root", "stray", "signature"]
+    own = [group, "node", "root", "stray", payload]
     left = mixed.filter("stray").select(*own, block(F.col("a_blocks")).alias("i"), every(F.col("b_blocks")).alias("j"))
     # Names of their own: both sides stem from one table, and a cogroup tells columns apart by where they come from.
     right = mixed.select(*[F.col(c).alias(f"m_{c}") for c in own], every(F.col("a_blocks")).alias("m_i"), block(F.col("b_blocks")).alias("m_j"))
@@ -213,23 +237,54 @@ def _strays(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def compare(strays: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if strays.empty or members.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x, y = np.stack(strays["signature"].to_numpy()), np.stack(members["m_signature"].to_numpy())
-        band, agree, earlier = int(strays["band"].iloc[0]), np.zeros((len(x), len(y)), dtype=np.int16), np.zeros((len(x), len(y)), dtype=bool)
-        for i in range(BANDS):
-            whole = np.ones_like(earlier)
-            for j in range(i * ROWS, (i + 1) * ROWS):
-                equal = x[:, j : j + 1] == y[:, j]
-                agree += equal
-                whole &= equal
-            if i < band:
-                earlier |= whole
         node_a, node_b = strays["node"].to_numpy(), members["m_node"].to_numpy()
-        good = (100 * agree.astype(np.int64) >= (percent - SLACK_PERCENT) * len(_A)) & ~earlier & (strays["root"].to_numpy()[:, None] != members["m_root"].to_numpy())
-        good &= ~members["m_stray"].to_numpy() | (node_a[:, None] < node_b)
-        a, b = np.nonzero(good)
+        apart = strays["root"].to_numpy()[:, None] != members["m_root"].to_numpy()
+        apart &= ~members["m_stray"].to_numpy() | (node_a[:, None] < node_b)
+        a, b = _forest(near(strays[payload].to_numpy(), members[f"m_{payload}"].to_numpy()) & apart)
         return pd.DataFrame({"a": node_a[a], "b": node_b[b]})
 
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("m_bucket", "m_i", "m_j")).applyInPandas(compare, "a long, b long")
+    return left.groupBy(group, "i", "j").cogroup(right.groupBy(f"m_{group}", "m_i", "m_j")).applyInPandas(compare, "a long, b long")
+
+
+def _signatures_near(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x, y = np.stack(left), np.ascontiguousarray(np.stack(right).T)
+        agree = np.zeros((len(x), y.shape[1]), dtype=np.uint8)
+        for i in range(len(_A)):
+            agree += x[:, i, None] == y[i]
+        return 100 * agree.astype(np.int64) >= (percent - SLACK_PERCENT) * len(_A)
+
+    return near
+
+
+def _sets_near(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """100 * intersection >= percent * union, on whole sets; none is empty."""
+
+    def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        n_left, n_right = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+        known, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        cut = int(n_left.sum())
+        own, others, starts = np.split(codes[:cut], np.cumsum(n_left)[:-1]), codes[cut:], np.cumsum(n_right) - n_right
+        marked, out = np.zeros(len(known), dtype=np.uint8), np.zeros((len(left), len(right)), dtype=bool)
+        for i, mine in enumerate(own):
+            marked[mine] = 1
+            both = np.add.reduceat(marked[others], starts, dtype=np.int64)
+            out[i] = 100 * both >= percent * (n_left[i] + n_right - both)
+            marked[mine] = 0
+        return out
+
+    return near
+
+
+def _last_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join every two components with a link between members of a bucket. Signatures first gather
+    such members into clusters; each cluster's sets are then compared whole. Neither step lists all pairs."""
+    close = placed.join(nodes.select("node", "signature"), "node")
+    clusters = components(_forest_of_strays(close, "bucket", "signature", F.lit(1), BLOCK, _signatures_near(percent)))
+    clusters = cut_lineage(clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster"))).distinct())
+    sets = shingle_sets(_fetch(texts, "node", clusters), k)
+    whole = clusters.join(placed.select("node", "root").distinct(), "node").join(sets, "node")
+    return _forest_of_strays(whole, "cluster", "members", F.size("members"), BLOCK_SHINGLES, _sets_near(percent))
 
 
 def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -237,13 +292,18 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
     rows = nodes.filter("n_shingles > 0").select("node", F.posexplode(bands).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = cut_lineage(rows.join(shared, "bucket").select("bucket", "band", "node"))
+    rows = cut_lineage(rows.join(shared, "bucket").select("bucket", "node"))
     edges: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
 
+    def add(found: DataFrame) -> None:
+        nonlocal edges, roots
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges)
+
     def settle(pairs: DataFrame) -> None:
-        nonlocal edges, tried, roots
+        nonlocal tried
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -251,9 +311,7 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.isEmpty():
             return
-        found = verify(pairs, nodes, texts, k, percent)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
+        add(verify(pairs, nodes, texts, k, percent))
 
     for turn in range(STAR_ROUNDS):
         placed = _with_roots(rows, roots)
@@ -264,9 +322,7 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         centre = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), order).alias("c"))
         pairs = placed.join(centre, "bucket").filter(F.col("root") != F.col("c.root"))
         settle(pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b")))
-    settle(_strays(_with_roots(rows, roots), nodes, percent))
-    if roots is None:
-        return nodes.select("node", F.col("node").alias("root")).limit(0)
+    add(cut_lineage(_last_links(cut_lineage(_with_roots(rows, roots)), nodes, texts, k, percent)))
     return roots
 
 
