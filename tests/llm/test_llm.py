@@ -1,6 +1,7 @@
 """Operators against plain versions on small tables with nulls, empty and repeated rows."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -90,6 +91,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds):
     assert got == dict(enumerate(root)) and 6 < len(set(root)) < len(texts)
 
 
+def test_near_duplicates_keep_a_borderline_link(spark):
+    """40 of 50 shingles in common, so just a link, but signatures that agree in 64 of 100 places, in seven bits too."""
+    make_importable(spark)
+    words = [f"w18901x{i}" for i in range(49)]
+    texts = [" ".join(words), " ".join([*words[:24], "other", *words[25:]])]
+    own = minhash.signatures(*minhash.shingle_hashes(pa.array(texts), 5))
+    assert (own[0] == own[1]).sum() == 64
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_prefilter_loses_no_more_than_the_banding(percent):
+    rest = 1 - percent / 100
+    lost = sum(math.comb(100, i) * (1 - rest) ** i * rest ** (100 - i) for i in range(minhash.least_agreement(percent)))
+    assert lost <= (1 - (1 - rest) ** minhash.ROWS) ** minhash.BANDS
+
+
 def test_forest_spans_the_graph():
     rng = np.random.default_rng(8)
     for _ in range(200):

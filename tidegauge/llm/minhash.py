@@ -13,6 +13,8 @@ candidate is checked by signature and then on the full sets. Components come fro
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +32,6 @@ BANDS, ROWS = 25, 4
 #: More rounds lose or win no link, as the blocks settle what is left; they only add jobs.
 STAR_ROUNDS = 1
 SEED = 17
-#: Signatures that agree in fewer places than PERCENT less this are not checked further: four standard deviations.
-SLACK_PERCENT = 15
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1_000
 #: Shingles of the members of a cluster that one task compares with as many others (8 bytes each).
@@ -110,6 +110,18 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache
+def least_agreement(percent: int) -> int:
+    """Signatures that agree in fewer places are not checked further. By the binomial law that loses a pair just at
+    percent no more often than the banding does, which is when no band of it agrees."""
+    p, n, lost = percent / 100, BANDS * ROWS, 0.0
+    for places in range(n):
+        lost += math.comb(n, places) * p**places * (1 - p) ** (n - places)
+        if lost > (1 - p**ROWS) ** BANDS:
+            return places
+    return n
+
+
 def shingle_nodes(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, low, high, signature) of each document; low and high are a 128-bit digest of the set, null
     like the signature where the set is empty."""
@@ -181,7 +193,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent
     side = lambda x: known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
     sizes_fit = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    near = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(sizes_fit & (F.lit(100) * agree >= F.lit((percent - SLACK_PERCENT) * len(_A))))
+    near = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(sizes_fit & (agree >= F.lit(least_agreement(percent))))
     near = cut_lineage(near.select("a", "b"))
     ids = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = shingle_sets(_fetch(texts, "node", ids), k)
@@ -253,7 +265,7 @@ def _signatures_near(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndar
         agree = np.zeros((len(x), y.shape[1]), dtype=np.uint8)
         for i in range(len(_A)):
             agree += x[:, i, None] == y[i]
-        return 100 * agree.astype(np.int64) >= (percent - SLACK_PERCENT) * len(_A)
+        return agree >= least_agreement(percent)
 
     return near
 
