@@ -157,6 +157,20 @@ def test_packing(docs, empty):
     assert packing.sum_of_squares(lengths, 2048)[0].max() + 1 <= -(-lengths.sum() // 2048) * 1.06
 
 
+def test_packing_closes_what_groups_leave_open(spark):
+    lengths = np.random.default_rng(2).integers(1, 500, 4000).tolist()
+    found = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(found, 2048, 1000).collect()
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        ends = [a + n for a, n in sorted(places)]
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+    assert len(by_sequence) == -(-sum(lengths) // 2048)
+
+
 def test_base_spans_equal_plain_patterns():
     rng = np.random.default_rng(4)
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -90,8 +90,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """pieces() with sequence_id and offset. Full pieces are sequences of their own; the others are dealt evenly into
-    groups of about group_pieces and packed group by group. Sequence ids are distinct over all groups."""
+    """pieces() with sequence_id and offset. Pieces are dealt evenly into groups of about group_pieces and packed group
+    by group; the pieces of all sequences left open are dealt and packed once more. Sequence ids are distinct over all
+    groups."""
     found = cut_lineage(found)
     n_groups = max(1, -(-found.count() // group_pieces))
     schema = ", ".join(f"{name} {kind}" for name, kind in found.dtypes) + ", sequence_id long, offset long"
@@ -99,11 +100,29 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
 
     def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["copy", "piece"], kind="stable")
+        length = rows["length"].to_numpy()
+        sequence, offset = sum_of_squares(length, capacity)
+        open_ = (np.bincount(sequence, weights=length) < capacity)[sequence]
+        return rows.assign(sequence_id=sequence * n_groups + key[0], offset=offset, left_open=open_)[[*columns, "left_open"]]
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        """The new sequences take ids of the old ones, which stay where packing anew does not save any."""
+        rows = rows.sort_values(["copy", "piece"], kind="stable")
+        ids = np.unique(rows["sequence_id"].to_numpy())
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=sequence * n_groups + key[0], offset=offset)[columns]
+        if sequence.max() + 1 < len(ids):
+            rows = rows.assign(sequence_id=ids[sequence], offset=offset)
+        return rows[columns]
 
     group = F.pmod(F.xxhash64("copy", "piece"), F.lit(n_groups))
-    return found.groupBy(group.alias("pack_group")).applyInPandas(step, schema)
+    packed = found.groupBy(group.alias("pack_group")).applyInPandas(step, schema + ", left_open boolean")
+    if n_groups == 1:
+        return packed.drop("left_open")
+    packed = cut_lineage(packed)
+    rest = packed.filter("left_open").drop("left_open")
+    # Whole sequences are dealt, so that each group may reuse its ids.
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, -(-rest.count() // group_pieces))))
+    return packed.filter("NOT left_open").select(*columns).unionByName(rest.groupBy(group.alias("pack_group")).applyInPandas(again, schema))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
