@@ -22,13 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.chunks import ChunkMemo
+from tidegauge.llm.chunks import ChunkEncoder, one_by_one
 from tidegauge.llm.common import WIDE_SLICE_BYTES, table, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Remembered pairs of adjacent tokens, and the longest chunk kept in the memo of pieces.
 MAX_PAIRS = 400_000
 MAX_PIECES = 200_000
+MAX_CHUNKS = 300_000
 MAX_PIECE_CHARS = 64
 
 
@@ -133,7 +134,7 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def piece_memo(path: str, pattern: str) -> ChunkMemo:
+def piece_memo(path: str, pattern: str) -> ChunkEncoder:
     """Memo over chunks; a new chunk is cut by the pattern and each match encoded for itself."""
     bpe, pieces = encoder(path), regex.compile(pattern)
     known: dict[str, tuple[int, ...]] = {}
@@ -151,7 +152,7 @@ def piece_memo(path: str, pattern: str) -> ChunkMemo:
     def encode(chunk: str) -> list[int]:
         return [i for piece in pieces.findall(chunk) for i in one(piece)]
 
-    return ChunkMemo(encode, keeps_space=True)
+    return ChunkEncoder(one_by_one(encode, MAX_CHUNKS), keeps_space=True)
 
 
 def encode_decode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -189,7 +190,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], memo: ChunkMemo) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], memo: ChunkEncoder) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for whole in batches:
         for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
             ids, ends = memo.encode_batch(batch.column("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.chunks import library_memo
+from tidegauge.llm.chunks import library_encoder
 from tidegauge.llm.common import WIDE_SLICE_BYTES, cut_lineage, table, text_slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     ids. A null text counts as empty: its piece is the end id alone. A null doc_id stays null."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(vocabulary, False)
+        memo = library_encoder(vocabulary, False)
         for whole in batches:
             for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 ids, ends = memo.encode_batch(batch.column("text"), end_id)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.chunks import library_memo
+from tidegauge.llm.chunks import library_encoder
 from tidegauge.llm.common import WIDE_SLICE_BYTES, fresh_path, partitions, table, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,7 +31,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
     """(doc_id, n_tokens, ids) of every text, end_id last. A null text counts as empty, a null doc_id stays null."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(vocabulary, True)
+        memo = library_encoder(vocabulary, True)
         for whole in batches:
             for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 ids, ends = memo.encode_batch(batch.column("text"), end_id)
