@@ -69,6 +69,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "HUB_EDGES", 3)
+    monkeypatch.setattr(minhash, "HOT_STRAYS", 2 if rounds else 4_000)
     rng = np.random.default_rng(3)
     texts: list[str] = []
     for family in range(6):
@@ -216,7 +218,7 @@ def test_search_recall_and_odd_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 8), (702, [float("nan")] * 8), (703, [1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), k=5, centroids=8, min_entries=200).collect():
+    for r in multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), k=5, centroids=8).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     hits = 0
     for i in range(0, 600, 20):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one Python step works on at a time; longer single texts are still taken whole. Steps that hold many
-#: numbers a byte take the first, lookups that cost something a call the second.
+#: Text bytes that one Python step works on at a time. Steps that hold many numbers a byte take the first, lookups that
+#: cost something a call the second. A longer single text comes alone; each operator then takes it in parts.
 SLICE_BYTES = 1 << 20
 WIDE_SLICE_BYTES = 4 << 20
 
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs in one
+    process, a temporary one. Elsewhere an unset folder is an error, since executors could not read the driver's."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import atexit
 
         found = tempfile.mkdtemp(prefix="tidegauge-")
@@ -61,6 +65,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and its path. Unlike a checkpoint's, its size estimate
+    is that of its files, so that in a loop the estimates do not multiply from turn to turn."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was stored, once nothing reads it any more."""
+    _remove(spark, path)
+
+
+def fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as keep it apart from columns (case is ignored)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -9,12 +9,16 @@ members of other components there, so that every bucket is settled for each pair
 block: first on signatures, where each block gives a spanning forest of the pairs that agree closely enough, and then
 within the clusters so found on whole sets, where each block gives a spanning forest of true links. Before that, a
 candidate is checked by signature and then on the full sets. Components come from alternating large-star and small-star.
+A bucket with very many members outside its commonest component is first split by the other bands, so that what is
+compared grows with the members that agree in two bands, not with the square of the bucket; a link is missed there only
+if no other band agrees, which the binomial law makes as rare as a link that the banding itself misses.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut_lineage, table, text_slices
+from tidegauge.llm.common import cut_lineage, partitions, remove, stored, table, text_slices
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 25, 4
@@ -34,6 +38,16 @@ STAR_ROUNDS = 1
 SEED = 17
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1_000
+#: Small groups are dealt together until they weigh this many blocks, since each call of the comparison has its price.
+SIGNATURE_BLOCKS, SET_BLOCKS = 8, 1
+#: A bucket with more members than this outside its commonest component is split by the other bands.
+HOT_STRAYS = 4_000
+#: Tasks of a comparison at most.
+MAX_TASKS = 20_000
+#: Nodes with more edges meet their least neighbour by broadcast, not in one task.
+HUB_EDGES = 500
+#: Texts of more bytes are shingled in parts.
+LONG_BYTES = 4 << 20
 #: Shingles of the members of a cluster that one task compares with as many others (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
 #: Ids that may be broadcast (8 bytes each) when texts of some documents are fetched.
@@ -47,6 +61,7 @@ _PLACE = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np
 _WORD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_ANY_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -102,6 +117,40 @@ def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def distinct_shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if len(texts) == 1 and len(raw := texts[0].as_buffer() or b"") > LONG_BYTES:
+        yield _of_long_text(raw, k)
+        return
+    hashes, bounds = shingle_hashes(texts, k)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield np.unique(hashes[a:b])
+
+
+def _of_long_text(raw: pa.Buffer, k: int) -> np.ndarray:
+    """Parts end between words and begin with the last k - 1 words of the part before."""
+    found, start, view = [np.empty(0, dtype=np.uint64)], 0, memoryview(raw)
+    gap = ~np.isin(np.arange(256), np.flatnonzero(_GAP))
+    while start < len(view):
+        size = LONG_BYTES // 2
+        while True:
+            m = _ANY_GAP.search(view, start + size) if start + size < len(view) else None
+            end = m.start() if m else len(view)
+            in_word = gap[np.frombuffer(view[start:end], dtype=np.uint8)]
+            begins = np.flatnonzero(in_word & ~np.concatenate([[False], in_word[:-1]]))
+            if len(begins) >= k or end == len(view):
+                break
+            size *= 2
+        if len(begins) >= k or start == 0:
+            part = pa.array([bytes(view[start:end])], type=pa.large_binary()).cast(pa.large_string())
+            found.append(np.unique(shingle_hashes(part, k)[0]))
+        if end == len(view):
+            break
+        start += int(begins[len(begins) - k + 1]) if k > 1 else end - start
+    return np.unique(np.concatenate(found))
+
+
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(texts, BANDS * ROWS) minima of (a x + b mod 2^64) >> 32 over each text's shingles; empty texts must be left out."""
     out = np.empty((len(bounds) - 1, len(_A)), dtype=np.uint32)
@@ -122,29 +171,31 @@ def least_agreement(percent: int) -> int:
     return n
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def shingle_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, low, high, signature) of each document; low and high are a 128-bit digest of the set, null
-    like the signature where the set is empty."""
+    """(doc_id, text_hash, n_shingles, low, high, signature) of each document; low and high are a 128-bit digest of the
+    set, null like the signature where the set is empty. text_hash tells rows with one doc_id apart."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                hashes, bounds = shingle_hashes(batch.column("text"), k)
-                n = len(bounds) - 1
-                sizes, low, high, raw = np.zeros(n, dtype=np.int64), [None] * n, [None] * n, [None] * n
-                full = np.flatnonzero(np.diff(bounds))
-                if len(full):
-                    own = signatures(hashes, np.append(bounds[:-1][full], bounds[-1]))
-                    for i, signature in zip(full.tolist(), own, strict=True):
-                        distinct = np.unique(hashes[bounds[i] : bounds[i + 1]])
-                        sizes[i] = len(distinct)
-                        low[i], high[i] = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), dtype=np.int64).tolist()
+                sets = list(distinct_shingles(batch.column("text"), k))
+                n = len(sets)
+                sizes, low, high, raw = np.array([len(x) for x in sets], dtype=np.int64), [None] * n, [None] * n, [None] * n
+                full = np.flatnonzero(sizes).tolist()
+                if full:
+                    own = signatures(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes[full])]))
+                    for i, signature in zip(full, own, strict=True):
+                        low[i], high[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype=np.int64).tolist()
                         raw[i] = signature.view(np.int32).tolist()
-                cols = [batch.column("doc_id"), pa.array(sizes), pa.array(low, type=pa.int64()), pa.array(high, type=pa.int64()), pa.array(raw, type=pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "low", "high", "signature"])
+                cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(low, type=pa.int64()), pa.array(high, type=pa.int64()), pa.array(raw, type=pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "low", "high", "signature"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(step, "doc_id long, n_shingles long, low long, high long, signature array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("text_hash"))
+    return rows.mapInArrow(step, "doc_id long, text_hash long, n_shingles long, low long, high long, signature array<int>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -153,39 +204,60 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                hashes, bounds = shingle_hashes(batch.column("text"), k)
-                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                sets = [x.view(np.int64) for x in distinct_shingles(batch.column("text"), k)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)])))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "members"])
 
-    return docs.mapInArrow(step, "node long, members array<long>")
+    return docs.select("node", "text").mapInArrow(step, "node long, members array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b): root is the smallest node of its component. Alternates large-star
-    and small-star until the edges are stars; each round is checkpointed, nothing is collected but a count and a sum."""
+    and small-star until the edges are stars; each round is stored, nothing is collected but a count and a sum."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges, before = cut_lineage(edges), None
+    spark, before = edges.sparkSession, None
+    edges, path = stored(edges, "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least, least_path = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = cut_lineage(small)
+        edges, next_path = stored(small, "edges")
+        remove(spark, path)
+        remove(spark, least_path)
+        path = next_path
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m of least(a, m, n). The centre of a large star has as many edges as its component has nodes, so
+    nodes of many edges are broadcast, in a number that is checked, and their edges stay where they are."""
+    hubs = least.filter(F.col("n") > HUB_EDGES).select("a", "m")
+    n = hubs.count()
+    if not 0 < n <= MAX_BROADCAST_IDS:
+        return edges.join(least.select("a", "m"), "a")
+    rest = least.filter(F.col("n") <= HUB_EDGES).select("a", "m")
+    others = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti")
+    return edges.join(F.broadcast(hubs), "a").select("a", "b", "m").unionByName(others.join(rest, "a").select("a", "b", "m"))
+
+
 def _fetch(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """rows whose key is in ids; ids are broadcast if there are few, else both sides are shuffled."""
     ids = ids.select(F.col("node").alias(key))
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, key, "left_semi")
 
 
+def _fetch_texts(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The text that stands for each node in ids: of several texts with one doc_id, the one whose set is the node's."""
+    wanted = cut_lineage(ids.select("node").join(nodes.select("node", "text_hash"), "node"))
+    return texts.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, ["node", "text_hash"], "left_semi")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) of pairs whose sets meet 100 * intersection >= percent * union. Signatures rule out the bulk."""
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -196,7 +268,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent
     near = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(sizes_fit & (agree >= F.lit(least_agreement(percent))))
     near = cut_lineage(near.select("a", "b"))
     ids = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = shingle_sets(_fetch(texts, "node", ids), k)
+    sets = shingle_sets(_fetch_texts(texts, nodes, ids), k)
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}"))
     both = F.size(F.array_intersect("m_a", "m_b")).cast("long")
     checked = near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", (F.size("m_a") + F.size("m_b")).cast("long").alias("n"), both.alias("both"))
@@ -230,33 +302,69 @@ def _forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_row), np.concatenate(out_col)
 
 
-def _forest_of_strays(placed: DataFrame, group: str, payload: str, weight: Column, limit: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _forest_of_strays(placed: DataFrame, group: str, payload: str, weight: Column, limit: int, blocks: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(a, b) over placed(group, node, root, payload): a spanning forest, block by block, of the pairs that share a
     group, differ in root and are near. Members outside their group's commonest component are dealt against all
-    members, both in blocks of about limit by weight."""
+    members, both in blocks of about limit by weight. A group of one block shares its call with others, up to the weight
+    of so many blocks; each call has a task of its own as far as MAX_TASKS goes."""
     placed = placed.withColumn("weight", weight.cast("long"))
-    by_root = placed.groupBy(group, "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    hubs = by_root.groupBy(group).agg(F.max_by(F.struct("root", "w"), F.struct("n", "root")).alias("hub"), F.count("*").alias("k"), F.sum("w").alias("w")).filter("k > 1")
-    blocks = lambda w: F.greatest(F.ceil(w / F.lit(limit)), F.lit(1)).cast("int")
-    hubs = hubs.select(group, F.col("hub.root").alias("hub"), blocks(F.col("w") - F.col("hub.w")).alias("a_blocks"), blocks(F.col("w")).alias("b_blocks"))
-    mixed = cut_lineage(placed.join(hubs, group).withColumn("stray", F.col("root") != F.col("hub")))
+    hubs = _strays(placed, group)
+    in_blocks = lambda w: F.greatest(F.ceil(w / F.lit(limit)), F.lit(1)).cast("int")
+    hubs = hubs.select(group, "hub", "w", in_blocks(F.col("strays")).alias("a_blocks"), in_blocks(F.col("w")).alias("b_blocks"))
+    hubs = cut_lineage(hubs.withColumn("solo", F.col("a_blocks") * F.col("b_blocks") > 1))
+    size = hubs.agg(F.sum(F.when(~F.col("solo"), F.col("w"))).alias("small"), F.sum(F.when(F.col("solo"), F.col("a_blocks").cast("long") * F.col("b_blocks"))).alias("solo")).first()
+    n_shared = max(1, -(-(size["small"] or 0) // (blocks * limit)))
+    n_tasks = max(partitions(placed.sparkSession), min(MAX_TASKS, n_shared + (size["solo"] or 0)))
+    deal = F.when(F.col("solo"), F.col(group)).otherwise(F.pmod(F.xxhash64(group), F.lit(n_shared)))
+    mixed = cut_lineage(placed.join(hubs.drop("w"), group).withColumn("stray", F.col("root") != F.col("hub")).withColumn("deal", deal))
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = [group, "node", "root", "stray", payload]
+    own, keys = ["solo", "deal", group, "node", "root", "stray", payload], ["solo", "deal", "i", "j"]
     left = mixed.filter("stray").select(*own, block(F.col("a_blocks")).alias("i"), every(F.col("b_blocks")).alias("j"))
     # Names of their own: both sides stem from one table, and a cogroup tells columns apart by where they come from.
     right = mixed.select(*[F.col(c).alias(f"m_{c}") for c in own], every(F.col("a_blocks")).alias("m_i"), block(F.col("b_blocks")).alias("m_j"))
 
     def compare(strays: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if strays.empty or members.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        node_a, node_b = strays["node"].to_numpy(), members["m_node"].to_numpy()
-        apart = strays["root"].to_numpy()[:, None] != members["m_root"].to_numpy()
-        apart &= ~members["m_stray"].to_numpy() | (node_a[:, None] < node_b)
-        a, b = _forest(near(strays[payload].to_numpy(), members[f"m_{payload}"].to_numpy()) & apart)
-        return pd.DataFrame({"a": node_a[a], "b": node_b[b]})
+        out_a, out_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if not strays.empty and not members.empty:
+            strays, members = strays.sort_values(group, kind="stable"), members.sort_values(f"m_{group}", kind="stable")
+            own, theirs = strays[group].to_numpy(), members[f"m_{group}"].to_numpy()
+            node_a, root_a, pay_a = (strays[c].to_numpy() for c in ("node", "root", payload))
+            node_b, root_b, stray_b, pay_b = (members[f"m_{c}"].to_numpy() for c in ("node", "root", "stray", payload))
+            names, first = np.unique(own, return_index=True)
+            last = np.append(first[1:], len(own))
+            for a, b, x, y in zip(first, last, np.searchsorted(theirs, names), np.searchsorted(theirs, names, side="right"), strict=True):
+                apart = root_a[a:b, None] != root_b[x:y]
+                apart &= ~stray_b[x:y] | (node_a[a:b, None] < node_b[x:y])
+                if apart.any():
+                    i, j = _forest(near(pay_a[a:b], pay_b[x:y]) & apart)
+                    out_a.append(node_a[a:b][i])
+                    out_b.append(node_b[x:y][j])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    left = left.repartition(n_tasks, *keys)
+    right = right.repartition(n_tasks, *[f"m_{c}" for c in keys])
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(compare, "a long, b long")
+
+
+def _strays(placed: DataFrame, group: str) -> DataFrame:
+    """(group, hub, w, strays) of groups with several components: the commonest one, the weight of all members and of
+    those outside it."""
+    by_root = placed.groupBy(group, "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    found = by_root.groupBy(group).agg(F.max_by(F.struct("root", "w"), F.struct("n", "root")).alias("hub"), F.count("*").alias("k"), F.sum("w").alias("w")).filter("k > 1")
+    return found.select(group, F.col("hub.root").alias("hub"), "w", (F.col("w") - F.col("hub.w")).alias("strays"))
 
-    return left.groupBy(group, "i", "j").cogroup(right.groupBy(f"m_{group}", "m_i", "m_j")).applyInPandas(compare, "a long, b long")
+
+def _split_hot(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """placed(bucket, node, root) with each hot bucket replaced by its parts that agree in another band as well."""
+    hot = cut_lineage(_strays(placed.withColumn("weight", F.lit(1)), "bucket").filter(F.col("strays") > HOT_STRAYS).select("bucket"))
+    n = hot.count()
+    if n == 0:
+        return placed
+    few = F.broadcast(hot) if n <= MAX_BROADCAST_IDS else hot
+    parts = placed.join(few, "bucket").join(nodes.select("node", F.explode(_bands()).alias("other")), "node").filter("other <> bucket")
+    parts = parts.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "root")
+    return cut_lineage(placed.join(few, "bucket", "left_anti").select("bucket", "node", "root").unionByName(parts))
 
 
 def _signatures_near(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -294,18 +402,22 @@ def _last_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, p
     such members into clusters; each cluster's sets are then compared whole. Neither step lists all pairs."""
     # Seven bits of each minimum: agreement can only be overrated, so no candidate is lost, and rows are a quarter as wide.
     brief = F.transform("signature", lambda x: x.bitwiseAND(F.lit(127)).cast("byte")).alias("signature")
-    close = placed.join(nodes.select("node", brief), "node")
-    clusters = components(_forest_of_strays(close, "bucket", "signature", F.lit(1), BLOCK, _signatures_near(percent)))
+    close = _split_hot(placed, nodes).join(nodes.select("node", brief), "node")
+    clusters = components(_forest_of_strays(close, "bucket", "signature", F.lit(1), BLOCK, SIGNATURE_BLOCKS, _signatures_near(percent)))
     clusters = cut_lineage(clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster"))).distinct())
-    sets = shingle_sets(_fetch(texts, "node", clusters), k)
+    sets = shingle_sets(_fetch_texts(texts, nodes, clusters), k)
     whole = clusters.join(placed.select("node", "root").distinct(), "node").join(sets, "node")
-    return _forest_of_strays(whole, "cluster", "members", F.size("members"), BLOCK_SHINGLES, _sets_near(percent))
+    return _forest_of_strays(whole, "cluster", "members", F.size("members"), BLOCK_SHINGLES, SET_BLOCKS, _sets_near(percent))
+
+
+def _bands() -> Column:
+    """The buckets of a signature, one a band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
 
 
 def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that are linked with another one."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
-    rows = nodes.filter("n_shingles > 0").select("node", F.posexplode(bands).alias("band", "bucket"))
+    rows = nodes.filter("n_shingles > 0").select("node", F.explode(_bands()).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = cut_lineage(rows.join(shared, "bucket").select("bucket", "node"))
     edges: DataFrame | None = None
@@ -342,26 +454,30 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs. Documents with at least percent hundredths of
-    their k-word shingles in common are linked; component_id is the smallest doc_id reachable. A text without words is
-    linked with nothing. Rows with the same doc_id count as one document. A null doc_id is linked with nothing either:
-    its component is null and it is kept."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of docs. Documents with at least percent
+    hundredths of their k-word shingles in common are linked; component_id is the smallest doc_id reachable. A text
+    without words is linked with nothing. A row's class is that of its own text, also where rows with one doc_id differ;
+    should such a doc_id be the smallest of several texts, near copies are sought for the one with most shingles (then
+    the largest digest) and the others are linked with equal sets alone. A null doc_id is linked with nothing: its
+    component is null and it is kept."""
     prints = cut_lineage(shingle_nodes(docs, k))
     with_words = prints.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = with_words.groupBy("low", "high").agg(F.min("doc_id").alias("node"))
-    firsts = with_words.join(sets, ["low", "high"]).filter("doc_id = node")
-    nodes = cut_lineage(firsts.select("node", "n_shingles", "signature").dropDuplicates(["node"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    sets = with_words.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"))
+    chosen = sets.groupBy("node").agg(F.max(F.struct("n_shingles", "low", "high")).alias("s")).select("node", "s.low", "s.high")
+    firsts = with_words.join(chosen, ["low", "high"]).filter("doc_id = node")
+    nodes = cut_lineage(firsts.select("node", "text_hash", "n_shingles", "signature").dropDuplicates(["node"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("text_hash"))
     roots = links(nodes, texts, k, percent)
-    of_set = sets.join(roots, "node", "left").select("low", "high", F.coalesce("root", "node").alias("root"))
-    found = prints.select("doc_id", "n_shingles", "low", "high").join(of_set, ["low", "high"], "left")
+    linked = chosen.join(roots, "node").select("low", "high", "root")
+    of_set = sets.join(linked, ["low", "high"], "left").select("low", "high", F.coalesce("root", "node").alias("root"))
+    found = prints.select("doc_id", "text_hash", "n_shingles", "low", "high").join(of_set, ["low", "high"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near duplicates of all documents: 3-word shingles, similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: All pairs by shared shingle, and a recursive closure: too slow on whole large tables, so tests run it on small ones.
