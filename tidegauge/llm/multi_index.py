@@ -28,10 +28,11 @@ TRAIN_VECTORS = 20_000
 CENTROIDS = 64
 ROUNDS = 15
 SEED = 5
-#: Entries that a query's cells must hold at least: this many, or this share of all, whichever is more. The share is
-#: what vectors without any structure need for a recall of 0.9; clustered ones do with a few hundredths.
-MIN_ENTRIES = 2_000
+#: The share of all entries that a query's cells must hold at least, at every size of table: what vectors without any
+#: structure need for a recall of 0.9; clustered ones do with a few hundredths. Beyond the share, SPARE_ENTRIES times as
+#: many entries as are asked for are visited, which is what keeps the recall of tables that hold few times k vectors.
 ENTRY_SHARE = 0.45
+SPARE_ENTRIES = 4
 #: Rows of a block of entries or queries.
 BLOCK = 2_048
 QUERY_EVERY = 20
@@ -120,7 +121,7 @@ def _blocks(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS, min_entries: int = MIN_ENTRIES, entry_share: float = ENTRY_SHARE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS, entry_share: float = ENTRY_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, its own vec_id left out; ties to the smaller
     vec_id. queries: rows of vectors, the smallest vector counting where a vec_id repeats. Every vector is indexed.
     A query that takes no part has no rows."""
@@ -143,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
     sizes = np.zeros((len(books.first), n_second), dtype=np.int64)
     for r in entries.groupBy("first", "second").count().collect():
         sizes[r["first"], r["second"]] = r["count"]
-    want = max(min_entries, int(entry_share * sizes.sum())) + k + 1
+    want = int(entry_share * sizes.sum()) + SPARE_ENTRIES * k + 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,30 +180,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
 
 
 def _nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best entries of each query within two blocks. Scores from one matrix product choose; those within reach of
-    the k-th are then summed in a fixed order, so that equal vectors tie exactly."""
+    """The k best visited entries of each query within two blocks. The entries of a second centroid meet the queries that
+    visit it in one matrix product and no others. Its scores choose; those within reach of the k-th are then summed in
+    a fixed order, so that equal vectors tie exactly."""
     if entries.empty or queries.empty:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    entries = entries.sort_values("vec_id")
+    entries = entries.sort_values(["second", "vec_id"])
     ids, x = entries["vec_id"].to_numpy(), np.stack(entries["embedding"].to_numpy()).astype(np.float64)
-    second = entries["second"].to_numpy()
+    cells, first = np.unique(entries["second"].to_numpy(), return_index=True)
+    bounds = np.append(first, len(ids)).tolist()
+    asked, q = queries["query_id"].to_numpy(), np.stack(queries["query"].to_numpy()).astype(np.float64)
+    visits = np.stack([np.frombuffer(m, dtype=np.uint8) for m in queries["mask"]])[:, cells]
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in asked]
+    reach = np.zeros(len(asked))
+    for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        own = np.flatnonzero(visits[:, c])
+        for at in range(0, len(own), 256):
+            rows = own[at : at + 256]
+            near = q[rows] @ x[a:b].T
+            reach[rows] = np.maximum(reach[rows], np.abs(near).max(axis=1))
+            near[asked[rows][:, None] == ids[a:b]] = -np.inf
+            edge = np.partition(near, b - a - min(k, b - a), axis=1)[:, b - a - min(k, b - a)] - 1e-9 * reach[rows]
+            for row, scores, least in zip(rows.tolist(), near, edge, strict=True):
+                best = np.flatnonzero((scores >= least) & np.isfinite(scores))
+                found[row].append((best + a, scores[best]))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 256):
-        part = queries.iloc[at : at + 256]
-        q = np.stack(part["query"].to_numpy()).astype(np.float64)
-        near = q @ x.T
-        slack = 1e-9 * np.abs(near).max(axis=1)
-        masks = np.stack([np.frombuffer(m, dtype=np.uint8) for m in part["mask"]])
-        near[masks[:, second] == 0] = -np.inf
-        for row, query_id in enumerate(part["query_id"].to_numpy()):
-            mine = near[row]
-            mine[ids == query_id] = -np.inf
-            n = min(k, len(mine))
-            edge = np.partition(mine, len(mine) - n)[len(mine) - n]
-            own = np.flatnonzero((mine >= edge - slack[row]) & np.isfinite(mine))
-            score = (x[own] * q[row]).sum(axis=1)
-            best = np.lexsort((ids[own], -score))[:k]
-            out.append((np.full(len(best), query_id), ids[own][best], score[best]))
+    for row, parts in enumerate(found):
+        own, scores = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, dtype=np.int64), np.empty(0))
+        if len(own) > k:
+            own = own[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * reach[row]]
+        score = (x[own] * q[row]).sum(axis=1)
+        best = np.lexsort((ids[own], -score))[:k]
+        out.append((np.full(len(best), asked[row]), ids[own][best], score[best]))
     return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
 
