@@ -1,11 +1,13 @@
 """Language identification by word-first backoff.
 
 A known word adds its log frequency in each language. An unseen word backs off to its character n-grams, the longest
-length first: the mean log frequency of those n-grams that are known at the first length that has any.
+length first: the mean log frequency of those n-grams that are known at the first length that has any. Of languages with
+the same evidence the first by name is taken.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,16 +15,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidegauge.llm.common import WIDE_SLICE_BYTES, table, text_slices
+from tidegauge.llm.common import WIDE_SLICE_BYTES, fresh_names, table, text_slices
 
 #: The model is fitted on about this many documents of each language (all, where there are fewer).
 TRAIN_DOCS = 300
-MAX_WORDS = 60_000
-MAX_GRAMS = 30_000
+#: The commonest languages that are learned, the words and n-grams (by size) that each may keep, and all together; with
+#: many languages each keeps an equal share.
+MAX_LANGS = 1_000
+MAX_WORDS, ALL_WORDS = 60_000, 600_000
+MAX_GRAMS, ALL_GRAMS = 30_000, 300_000
 GRAM_SIZES = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: The score is a softmax over the evidence of at most this many words, so that it does not saturate on long texts.
@@ -30,6 +35,9 @@ EVIDENCE_WORDS = 20
 UNKNOWN = "und"
 MAX_MEMO = 200_000
 MIN_SCORE = 0.5
+#: Texts of more bytes are scored in parts, cut where no word is.
+LONG_BYTES = 8 << 20
+_GAP = re.compile(r"[\s0-9.,;:!?]")
 
 
 @dataclass
@@ -69,12 +77,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     language. Counts are summed by Spark; the driver gets the most frequent words and n-grams alone."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(have)
     if not langs:
         return _model([], [])
     rate = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / have[k]))]), F.col("lang"))
-    sampled = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < rate * 1_000_000)
+    sampled = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < rate * 1_000_000)  # null, so dropped, for a language that is not learned
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple[str, int, str]] = Counter()
@@ -96,13 +104,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         yield _counts(total)
 
     counts = sampled.select("lang", "text").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    kept = [
-        counts.filter("size = 0").orderBy(F.desc("n"), "gram", "lang").limit(MAX_WORDS).collect(),
-        counts.filter("size > 0").orderBy(F.desc("n"), "size", "gram", "lang").limit(MAX_GRAMS * len(GRAM_SIZES)).collect(),
-    ]
-    counts.unpersist()
-    return _model(langs, [(r["lang"], r["size"], r["gram"], r["n"]) for part in kept for r in part])
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
+    most = F.when(F.col("size") == 0, min(MAX_WORDS, ALL_WORDS // len(langs))).otherwise(min(MAX_GRAMS, ALL_GRAMS // len(langs)))
+    kept = counts.withColumn("place", place).filter(F.col("place") <= most).collect()
+    return _model(langs, [(r["lang"], r["size"], r["gram"], r["n"]) for r in kept])
 
 
 def _counts(total: Counter) -> pa.RecordBatch:
@@ -145,34 +150,52 @@ class _Memo:
     def rows(self, words: pa.Array) -> np.ndarray:
         if len(self.keys) > MAX_MEMO + len(self.model.words):
             self.clear()
-        at = pc.index_in(words, value_set=self.keys)
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.keys)
+        rows = pc.fill_null(at, -1).to_numpy().copy()
         if at.null_count:
-            before, missing = len(self.keys), words.filter(pc.is_null(at))
-            new = pc.unique(missing)
+            new = coded.dictionary.filter(pc.is_null(at))
+            rows[rows < 0] = np.arange(len(self.keys), len(self.keys) + len(new))
             self.logs = np.concatenate([self.logs, np.array([self.model.backoff(w) for w in new.to_pylist()], dtype=np.float32)])
             self.keys = pa.concat_arrays([self.keys, new])
-            found = pc.fill_null(at, -1).to_numpy().copy()
-            found[found < 0] = before + pc.index_in(missing, value_set=new).to_numpy()
-            return found
-        return at.to_numpy()
+        return rows[coded.indices.to_numpy()]
 
 
 _MEMOS: dict[str, _Memo] = {}
 
 
+def _evidence(memo: _Memo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log frequencies by language, and the number of words, of each text."""
+    words, bounds = words_of(texts)
+    rows = memo.rows(words)
+    return np.add.reduceat(memo.logs[rows].astype(np.float64), bounds[:-1], axis=0), np.add.reduceat((rows != 0).astype(np.int64), bounds[:-1])
+
+
+def _parts(text: str) -> Iterator[str]:
+    start = 0
+    while len(text) - start > LONG_BYTES // 2 and (m := _GAP.search(text, start + LONG_BYTES // 2)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
+
+
 def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1) of each text; 'und' and 0 where it has no letter or nothing was learned."""
     if model.key not in _MEMOS:
         _MEMOS.clear()
         _MEMOS[model.key] = _Memo(model)
     memo = _MEMOS[model.key]
-    words, bounds = words_of(texts)
-    n = len(bounds) - 1
+    n = len(texts)
     if not model.langs or n == 0:
         return [UNKNOWN] * n, np.zeros(n)
-    rows = memo.rows(words)
-    evidence = np.add.reduceat(memo.logs[rows].astype(np.float64), bounds[:-1], axis=0)
-    letters = np.add.reduceat((rows != 0).astype(np.int64), bounds[:-1])
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    long = pc.greater(pc.binary_length(texts), LONG_BYTES).to_numpy(zero_copy_only=False)
+    evidence, letters = _evidence(memo, pc.if_else(pa.array(long), "", texts) if long.any() else texts)
+    for i in np.flatnonzero(long).tolist():
+        for part in _parts(texts[i].as_py()):
+            more, words = _evidence(memo, pa.array([part], type=pa.large_string()))
+            evidence[i] += more[0]
+            letters[i] += words[0]
     evidence *= (np.minimum(letters, EVIDENCE_WORDS) / np.maximum(letters, 1))[:, None]
     odds = np.exp(evidence - evidence.max(axis=1, keepdims=True))
     best = odds.argmax(axis=1)
@@ -181,14 +204,16 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with two columns appended: __lang_pred and __lang_score. Only text is used; null and empty texts give 'und', 0."""
-    out = StructType([*docs.schema, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())])
+    """docs with two columns appended: language and score, named __lang_pred and __lang_score or, where docs has such
+    columns, with underscores after. Only text is used; null and empty texts give 'und', 0."""
+    pred, scored = fresh_names(docs.columns, "__lang_pred", "__lang_score")
+    out = StructType([*docs.schema, StructField(pred, StringType()), StructField(scored, DoubleType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text", WIDE_SLICE_BYTES):
                 langs, score = score_texts(model, batch.column("text"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score)], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score)], names=[*batch.schema.names, pred, scored])
 
     return docs.mapInArrow(step, out)
 

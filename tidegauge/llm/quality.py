@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidegauge.llm.common import table, text_slices
+from tidegauge.llm.common import fresh_names, table, text_slices
 
 PASSAGE_BYTES = 1024
-#: The classifier is fitted on about this many labelled documents, each of at most MAX_TRAIN_PASSAGES passages.
+#: The classifier is fitted on about this many labelled documents; of one with more passages than MAX_TRAIN_PASSAGES,
+#: that many are taken, evenly spread over all its text. So the driver gets 100 MB of them at most.
 TRAIN_DOCS = 6000
-MAX_TRAIN_PASSAGES = 64
+MAX_TRAIN_PASSAGES = 32
+#: Texts of more bytes are encoded in parts of this many; a whole number of passages.
+LONG_BYTES = 4 << 20
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 128, 0.01, 1e-4, 7
 #: In the pipeline, documents below this score go.
@@ -35,14 +38,29 @@ _SLOTS = 2048
 def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages in a row, and the number of passages of each text (1 for an empty or null one).
 
-    Features: root shares of the 256 byte values, the share of distinct 8-byte runs (low where text repeats), the share
-    of distinct 8-byte runs against the whole text so far as its passages tell, and the passage's fill."""
+    Features: root shares of the 256 byte values, the share of distinct 8-byte runs within the passage (low where it
+    repeats itself), its fill, and the logarithm of the text's number of passages. Repetition over longer distances
+    than a passage is not among them."""
     wide = pc.fill_null(texts.cast(pa.large_string()), "")
     wide = pa.concat_arrays([wide])
     bounds = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
     raw = np.frombuffer(wide.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
     sizes = np.diff(bounds)
     counts = np.maximum(1, -(-sizes // PASSAGE_BYTES))
+    out = _features(raw, bounds, sizes, counts)
+    out[:, 258] = np.log1p(np.repeat(counts, counts)) / 8
+    return out, counts
+
+
+def encode_bytes(raw: np.ndarray, passages: int) -> np.ndarray:
+    """Features of the passages of a part of a long text that has so many passages in all."""
+    sizes = np.array([len(raw)])
+    out = _features(raw, np.array([0, len(raw)]), sizes, -(-sizes // PASSAGE_BYTES))
+    out[:, 258] = np.log1p(passages) / 8
+    return out
+
+
+def _features(raw: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     first = np.cumsum(counts) - counts
     total = int(counts.sum())
     place = np.arange(len(raw), dtype=np.int64) - np.repeat(bounds[:-1] - bounds[0], sizes)
@@ -62,8 +80,7 @@ def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         distinct = hit.reshape(total, _SLOTS).sum(axis=1)
         out[:, 256] = distinct / np.maximum(_expected(bytes_in), 1)
     out[:, 257] = bytes_in / PASSAGE_BYTES
-    out[:, 258] = np.log1p(np.repeat(counts, counts)) / 8
-    return out, counts
+    return out
 
 
 def _expected(n: np.ndarray) -> np.ndarray:
@@ -106,7 +123,29 @@ class AttentionMil:
         return {"W": k["z"].T @ dz, "b": dz.sum(axis=0), "V": k["h"].T @ dtv, "U": k["h"].T @ dsu, "w": (k["tv"] * k["su"]).T @ de, "c": k["m"].T @ ds, "d": ds.sum(keepdims=True)}
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return self.forward(*encode_passages(texts))[0] if len(texts) else np.zeros(0)
+        if not len(texts):
+            return np.zeros(0)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        long = np.flatnonzero(pc.greater(pc.binary_length(texts), LONG_BYTES).to_numpy(zero_copy_only=False)).tolist()
+        if not long:
+            return self.forward(*encode_passages(texts))[0]
+        out = np.empty(len(texts))
+        for i in range(len(texts)):
+            out[i] = self._long_score(texts[i].as_buffer()) if i in long else self.forward(*encode_passages(texts.slice(i, 1)))[0][0]
+        return out
+
+    def _long_score(self, raw: pa.Buffer) -> float:
+        """The score of one long text: its passages' hidden vectors are weighed part by part, against a running maximum."""
+        total, p = -(-len(raw) // PASSAGE_BYTES), self.p
+        top, weight, mean = -np.inf, 0.0, np.zeros(HIDDEN)
+        for at in range(0, len(raw), LONG_BYTES):
+            x = encode_bytes(np.frombuffer(raw, dtype=np.uint8)[at : at + LONG_BYTES], total)
+            h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["b"])
+            e = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            higher = max(top, float(e.max()))
+            a, old = np.exp(e - higher), np.exp(top - higher)
+            top, weight, mean = higher, weight * old + a.sum(), mean * old + a @ h
+        return float(_sigmoid((mean / weight) @ p["c"] + p["d"])[0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -135,6 +174,19 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> AttentionMil:
     return model
 
 
+def training_passages(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Features of each text's passages, of at most MAX_TRAIN_PASSAGES spread evenly over it."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    for i in range(len(texts)):
+        raw = np.frombuffer(texts[i].as_buffer() or b"", dtype=np.uint8)
+        total = max(1, -(-len(raw) // PASSAGE_BYTES))
+        if total <= MAX_TRAIN_PASSAGES:
+            yield encode_passages(texts.slice(i, 1))[0]
+            continue
+        kept = np.linspace(0, total - 1, MAX_TRAIN_PASSAGES).round().astype(int).tolist()
+        yield np.concatenate([encode_bytes(raw[k * PASSAGE_BYTES : (k + 1) * PASSAGE_BYTES], total) for k in kept])
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -149,14 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> A
     sample = sample.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample is bounded by train_docs, so it may be broadcast.
-    rows = texts.join(F.broadcast(sample), "doc_id").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_TRAIN_PASSAGES * PASSAGE_BYTES)
+    rows = texts.join(F.broadcast(sample), "doc_id")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                x, counts = encode_passages(batch.column("text"))
-                ends = np.cumsum(counts)
-                raw = [x[b - n : b].astype(np.float16).tobytes() for b, n in zip(ends, counts, strict=True)]
+                raw = [x.astype(np.float16).tobytes() for x in training_passages(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(raw, type=pa.binary())], names=["doc_id", "quality", "x"])
 
     found = rows.mapInArrow(step, "doc_id long, quality int, x binary").collect()
@@ -165,18 +215,20 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> A
     if len(set(y.tolist())) < 2:
         return None
     parts = [np.frombuffer(r["x"], dtype=np.float16).reshape(-1, N_FEATURES) for r in found]
-    return fit(np.concatenate(parts).astype(np.float64), np.array([len(x) for x in parts]), y)
+    return fit(np.concatenate(parts).astype(np.float32), np.array([len(x) for x in parts]), y)
 
 
 def predict(docs: DataFrame, model: AttentionMil | None) -> DataFrame:
-    """docs with __quality (0 to 1) appended. Null texts count as empty; without a model each document gets 1."""
-    out = StructType([*docs.schema, StructField("__quality", DoubleType())])
+    """docs with a score (0 to 1) appended, named __quality or, where docs has such a column, with underscores after.
+    Null texts count as empty; without a model each document gets 1."""
+    (name,) = fresh_names(docs.columns, "__quality")
+    out = StructType([*docs.schema, StructField(name, DoubleType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 score = model.scores(batch.column("text")) if model else np.ones(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "__quality"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(step, out)
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut_lineage, table
+from tidegauge.llm.common import cut_lineage, fresh_names, table
 
 SHARD_BYTES = 1 << 20
 #: Bits of hash in all, and how many a round looks at most.
@@ -65,21 +65,26 @@ def directory(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: DataFrame, columns: list[str]) -> DataFrame:
-    """columns of docs with depth and shard, the shard's bits as text ('' for the only one). Each document meets the
-    depths that the directory has (at most HASH_BITS) and finds the one prefix that is a shard."""
+    """columns of docs with depth and shard, the shard's bits as text ('' for the only one); names that columns hold
+    already get underscores after. Each document meets the depths that the directory has (at most HASH_BITS) and finds
+    the one prefix that is a shard. Rows with one doc_id share a shard."""
+    names = fresh_names(columns, "depth", "shard")
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
-    rows = docs.withColumn("__h", hash_bits(F.col("doc_id")))
-    tries = rows.withColumn("__depth", F.explode(F.array(*[F.lit(d) for d in depths] or [F.lit(0)])))
-    tries = tries.withColumn("__prefix", _prefix(F.col("__h"), HASH_BITS, F.col("__depth")))
-    own = shards.select(F.col("depth").alias("__depth"), F.col("prefix").alias("__prefix"))
-    bits = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("__prefix").cast("string"), 10, 2), F.col("__depth"), F.lit("0")))
-    return tries.join(own, ["__depth", "__prefix"]).select(*columns, F.col("__depth").alias("depth"), bits.alias("shard"))
+    hashed, depth, prefix = fresh_names(docs.columns, "__h", "__depth", "__prefix")
+    rows = docs.withColumn(hashed, hash_bits(F.col("doc_id")))
+    tries = rows.withColumn(depth, F.explode(F.array(*[F.lit(d) for d in depths] or [F.lit(0)])))
+    tries = tries.withColumn(prefix, _prefix(F.col(hashed), HASH_BITS, F.col(depth)))
+    own = shards.select(F.col("depth").alias(depth), F.col("prefix").alias(prefix))
+    bits = F.when(F.col(depth) == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col(prefix).cast("string"), 10, 2), F.col(depth), F.lit("0")))
+    return tries.join(own, [depth, prefix]).select(*columns, F.col(depth).alias(names[0]), bits.alias(names[1]))
 
 
 def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
-    """One folder of Parquet a shard, dealt by shard so that each is written by one task."""
+    """One folder of Parquet a shard, dealt by shard so that each is written by one task. The folders' column is shard,
+    with underscores after where docs has one of that name; all columns of docs are kept."""
+    depth, shard = fresh_names(docs.columns, "depth", "shard")
     placed = assign(docs, directory(docs, shard_bytes), docs.columns)
-    placed.drop("depth").repartition("shard").write.partitionBy("shard").parquet(path)
+    placed.drop(depth).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,8 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each row in the files, computed from the ids as read."""
+    """(doc_id, start, n_tokens, ids_crc32) of each row in the files, computed from the ids as read. start counts the ids
+    of the rows before it in the files, which is also the order of rows with one doc_id; null doc_ids come first."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +82,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)).cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             counts = np.diff(offsets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), pa.array(counts), pa.array(sums, type=pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("place"), batch.column("doc_id"), pa.array(counts), pa.array(sums, type=pa.int64())], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    small = rows.mapInArrow(step, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read(spark, path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"), "doc_id", "ids")
+    small = rows.mapInArrow(step, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
     # Files are named by partition number, so their names follow doc_id order.
-    in_file = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     files = read(spark, path, with_ids=False).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum(F.col("n_tokens").cast("long")).alias("tokens"))
     before = files.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "before")
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0))
