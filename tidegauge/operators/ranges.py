@@ -1,12 +1,18 @@
-"""Range-vector functions: one set-based plan for every grid time. A sample is dealt to the windows (t - width, t] that
-hold it, and each (series, t) is one group; no range join."""
+"""Range-vector functions: one set-based plan for every grid time.
+
+A window (t - width, t] whose width is a whole number of steps is a run of tiles (t - step, t]. Samples are reduced to
+one row a tile first, by hash aggregation or a window inside the tile; what crosses the border between two tiles is
+found by a window over tiles; then each tile, not each sample, is dealt to the windows that hold it. So no sample is
+copied and no task holds a whole series' samples. Functions that need every sample of a window (quantiles, regressions)
+and widths that are no whole number of steps deal the samples themselves. No range join anywhere.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.timegrid import windows_of
+from tidegauge.functions.timegrid import bucket_end, windows_of
 
 
 def on_grid(samples: DataFrame, step: int, width: int) -> DataFrame:
@@ -14,22 +20,98 @@ def on_grid(samples: DataFrame, step: int, width: int) -> DataFrame:
 
 
 def over_time(samples: DataFrame, keys: list[str], step: int, width: int, **functions: Column) -> DataFrame:
-    """Any aggregates of value and ts_ms over each window."""
+    """Any aggregates of value and ts_ms over each window, from the samples themselves."""
     return on_grid(samples, step, width).groupBy(*keys, "t").agg(*[f.alias(name) for name, f in functions.items()])
 
 
+#: Functions that tiles can be combined into, by name.
+TILED = ("avg", "min", "max", "sum", "count", "last", "first", "present", "stddev", "stdvar")
+
+
+def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str) -> DataFrame:
+    """<how>_over_time for one of TILED. Variances combine by the tiles' own means, which loses no digits."""
+    v, ts = F.col("value"), F.col("ts_ms")
+    if width % step:
+        raw = {"avg": F.avg(v), "min": F.min(v), "max": F.max(v), "sum": F.sum(v), "count": F.count(v).cast("double"), "last": F.max_by(v, ts), "first": F.min_by(v, ts), "present": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v)}
+        return over_time(samples, keys, step, width, value=raw[how])
+    n, m = F.col("n"), F.col("m")
+    tile, combine = {
+        "avg": ({"n": F.count(v), "m": F.sum(v)}, F.sum("m") / F.sum("n")),
+        "min": ({"m": F.min(v)}, F.min("m")),
+        "max": ({"m": F.max(v)}, F.max("m")),
+        "sum": ({"m": F.sum(v)}, F.sum("m")),
+        "count": ({"m": F.count(v)}, F.sum("m").cast("double")),
+        "last": ({"m": F.max_by(v, ts)}, F.max_by("m", "tile")),
+        "first": ({"m": F.min_by(v, ts)}, F.min_by("m", "tile")),
+        "present": ({"m": F.max(F.lit(1.0))}, F.max("m")),
+        "stddev": ({"n": F.count(v), "m": F.avg(v), "s": F.var_pop(v)}, None),
+        "stdvar": ({"n": F.count(v), "m": F.avg(v), "s": F.var_pop(v)}, None),
+    }[how]
+    tiles = samples.groupBy(*keys, bucket_end(ts, step).alias("tile")).agg(*[x.alias(name) for name, x in tile.items()])
+    if combine is None:
+        within = F.sum(n * F.col("s")) / F.sum(n)
+        # The spread of the tiles' means, against the mean of a first tile so that no large squares cancel.
+        shift = m - F.min_by("m", "tile").over(Window.partitionBy(*keys, "t"))
+        spread = F.sum(n * F.col("d") * F.col("d")) / F.sum(n) - F.pow(F.sum(n * F.col("d")) / F.sum(n), 2)
+        dealt = _windows(tiles, keys, step, width).withColumn("d", shift)
+        variance = F.greatest(F.lit(0.0), within + spread)
+        return dealt.groupBy(*keys, "t").agg((F.sqrt(variance) if how == "stddev" else variance).alias("value"))
+    return _windows(tiles, keys, step, width).groupBy(*keys, "t").agg(combine.alias("value"))
+
+
+def _windows(tiles: DataFrame, keys: list[str], step: int, width: int) -> DataFrame:
+    """Each tile once for every window that holds it, as t."""
+    return tiles.withColumn("t", F.explode(F.sequence(F.col("tile"), F.col("tile") + (width - step), F.lit(step).cast("long"))))
+
+
+def _pairs(samples: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """One row a tile: n, first and last sample, and over neighbouring samples inside the tile what a counter lost at
+    resets, the number of changes and of falls; border_*: the same between the tile before and this one."""
+    rows = samples.select(*keys, "ts_ms", "value", bucket_end(F.col("ts_ms"), step).alias("tile"))
+    inside = Window.partitionBy(*keys, "tile").orderBy("ts_ms")
+    before = F.lag("value").over(inside)
+    rows = rows.withColumn("before", before).withColumn("before_ts", F.lag("ts_ms").over(inside))
+    own = F.struct("ts_ms", "value")
+    tiles = rows.groupBy(*keys, "tile").agg(
+        F.count("*").alias("n"), F.min(own).alias("a"), F.max_by(F.struct("ts_ms", "value", "before_ts", "before"), "ts_ms").alias("b"),
+        F.sum(F.when(F.col("value") < F.col("before"), F.col("before")).otherwise(0.0)).alias("lost"),
+        F.count_if(F.col("value") != F.col("before")).alias("changes"), F.count_if(F.col("value") < F.col("before")).alias("resets"),
+    )
+    last = F.lag("b").over(Window.partitionBy(*keys).orderBy("tile"))
+    tiles = tiles.withColumn("p", last)
+    fell = F.col("a.value") < F.col("p.value")
+    return tiles.withColumn("border_lost", F.when(fell, F.col("p.value")).otherwise(0.0)).withColumn("border_changes", F.when(F.col("a.value") != F.col("p.value"), 1).otherwise(0)).withColumn("border_resets", F.when(fell, 1).otherwise(0))
+
+
+def _summed(name: str) -> Column:
+    """Sum over a window's tiles, without the border before its first one."""
+    return F.sum(F.col(name) + F.col(f"border_{name}")) - F.min_by(f"border_{name}", "tile")
+
+
+def _fine(step: int, width: int) -> int:
+    """A tile that both the step and the width are whole numbers of."""
+    a, b = step, width
+    while b:
+        a, b = b, a % b
+    return a
+
+
+def _dealt(tiles: DataFrame, step: int, width: int) -> DataFrame:
+    """Tiles of any size that divides step and width, dealt to the grid times t whose window holds them."""
+    first = bucket_end(F.col("tile"), step)
+    return tiles.withColumn("t", F.explode(F.when(first < F.col("tile") + width, F.sequence(first, F.col("tile") + (width - 1), F.lit(step).cast("long")))))
+
+
 def extrapolated(samples: DataFrame, keys: list[str], step: int, width: int, counter: bool, per_second: bool) -> DataFrame:
     """rate (counter, per second), increase (counter) or delta (neither): the change between a window's first and last
     sample, carried to the window's edges but by half a spacing only where a sample is missing there, and for counters
-    never below zero. Resets are made up for on the whole series first, so a window needs its first and last sample alone.
-    Windows of fewer than two samples have no value."""
-    order = Window.partitionBy(*keys).orderBy("ts_ms")
-    before = F.lag("value").over(order)
-    lost = F.when(F.col("value") < before, before).otherwise(0.0)
-    rows = samples.withColumn("lost", lost).withColumn("run", F.sum("lost").over(order) if counter else F.lit(0.0))
-    rows = rows.withColumn("run", F.col("value") + F.col("run"))
-    ends = over_time(rows, keys, step, width, n=F.count("*"), a=F.min("ts_ms"), b=F.max("ts_ms"), first=F.min_by("value", "ts_ms"), x=F.min_by("run", "ts_ms"), y=F.max_by("run", "ts_ms")).filter("n >= 2")
-    ends = ends.withColumn("change", F.col("y") - F.col("x")).withColumn("sampled", (F.col("b") - F.col("a")) / 1000)
+    never below zero. What a counter lost at its resets is summed inside the window alone. Windows of fewer than two
+    samples have no value."""
+    tiles = _pairs(samples, keys, _fine(step, width))
+    lost = _summed("lost") if counter else F.lit(0.0)
+    ends = _dealt(tiles, step, width).groupBy(*keys, "t").agg(F.sum("n").alias("n"), F.min("a").alias("first"), F.max_by("b", "tile").alias("last"), lost.alias("lost")).filter("n >= 2")
+    ends = ends.select(*keys, "t", "n", F.col("first.ts_ms").alias("a"), F.col("last.ts_ms").alias("b"), F.col("first.value").alias("first"), (F.col("last.value") - F.col("first.value") + F.col("lost")).alias("change"))
+    ends = ends.withColumn("sampled", (F.col("b") - F.col("a")) / 1000)
     spacing = F.col("sampled") / (F.col("n") - 1)
     ahead, after = (F.col("a") - (F.col("t") - width)) / 1000, (F.col("t") - F.col("b")) / 1000
     ahead = F.when(ahead >= spacing * 1.1, spacing / 2).otherwise(ahead)
@@ -41,20 +123,17 @@ def extrapolated(samples: DataFrame, keys: list[str], step: int, width: int, cou
 
 
 def pairwise(samples: DataFrame, keys: list[str], step: int, width: int, resets: bool) -> DataFrame:
-    """changes or resets in each window: running counts over the series, last less first."""
-    order = Window.partitionBy(*keys).orderBy("ts_ms")
-    before = F.lag("value").over(order)
-    hit = (F.col("value") < before) if resets else (F.col("value") != before)
-    rows = samples.withColumn("hit", F.coalesce(hit.cast("long"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("hit").over(order))
-    return over_time(rows, keys, step, width, value=F.max_by("run", "ts_ms") - F.min_by("run", "ts_ms"))
+    """changes or resets in each window."""
+    name = "resets" if resets else "changes"
+    return _dealt(_pairs(samples, keys, _fine(step, width)), step, width).groupBy(*keys, "t").agg(_summed(name).alias("value"))
 
 
 def instant(samples: DataFrame, keys: list[str], step: int, width: int, per_second: bool) -> DataFrame:
     """irate (per second, a fall counts from zero) or idelta: a window's last two samples."""
-    order = Window.partitionBy(*keys).orderBy("ts_ms")
-    rows = samples.withColumn("prev", F.lag("value").over(order)).withColumn("prev_ts", F.lag("ts_ms").over(order))
-    last = over_time(rows, keys, step, width, n=F.count("*"), s=F.max_by(F.struct("value", "ts_ms", "prev", "prev_ts"), "ts_ms")).filter("n >= 2")
+    tiles = _pairs(samples, keys, _fine(step, width))
+    before_ts, before = F.coalesce("b.before_ts", "p.ts_ms"), F.coalesce("b.before", "p.value")
+    tiles = tiles.select(*keys, "tile", F.struct(F.col("b.ts_ms").alias("ts_ms"), F.col("b.value").alias("value"), before_ts.alias("prev_ts"), before.alias("prev")).alias("s"))
+    last = _dealt(tiles, step, width).groupBy(*keys, "t").agg(F.max_by("s", "tile").alias("s")).filter(F.col("s.prev_ts") > F.col("t") - width)
     change = F.col("s.value") - F.col("s.prev")
     if per_second:
         change = F.when(F.col("s.value") < F.col("s.prev"), F.col("s.value")).otherwise(change) / ((F.col("s.ts_ms") - F.col("s.prev_ts")) / 1000)

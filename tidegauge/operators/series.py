@@ -56,13 +56,17 @@ def rank_and_fold(rows: DataFrame, member: str, keep: int) -> DataFrame:
     then the name), the rest folded into one band of median, least and most."""
     mid = rows.groupBy("ts_ms").agg(F.percentile("avg", F.lit(0.5)).alias("mid"))
     far = rows.join(mid, "ts_ms").groupBy(member).agg(F.max(F.abs(F.col("avg") - F.col("mid"))).alias("far"), F.max("max").alias("peak"))
-    places = far.withColumn("place", F.row_number().over(Window.orderBy(F.desc("far"), F.desc("peak"), member)))
-    named = rows.join(F.broadcast(places.select(member, "place")), member).withColumn("series", F.when(F.col("place") <= keep, F.col(member).cast("string")).otherwise(F.lit("others")))
+    # The named series are keep rows, so they may be broadcast; a sort with a limit needs no window over all series.
+    named = far.orderBy(F.desc("far"), F.desc("peak"), member).limit(keep).select(member, F.col(member).cast("string").alias("series"))
+    named = rows.join(F.broadcast(named), member, "left").withColumn("series", F.coalesce("series", F.lit("others")))
     return named.groupBy("series", "ts_ms").agg(F.percentile("avg", F.lit(0.5)).alias("avg"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("count").alias("count"), F.count("*").alias("reporting"))
 
 
 def lomb_scargle(rows: DataFrame, keys: list[str], periods_ms: list[int]) -> DataFrame:
-    """Generalised Lomb-Scargle power (0 to 1) at given periods: moments per frequency, then the closed form."""
+    """Generalised Lomb-Scargle power (0 to 1) at given periods: moments per frequency, then the closed form. Values are
+    centred on their series' mean first, so that a large level costs no digits; a constant series has power 0."""
+    level = rows.groupBy(*keys).agg(F.avg("value").alias("__level"), F.min("ts_ms").alias("__t0"))
+    rows = rows.join(level, keys).withColumn("value", F.col("value") - F.col("__level")).withColumn("ts_ms", F.col("ts_ms") - F.col("__t0"))
     w = F.col("ts_ms") * F.lit(2 * math.pi) / F.col("period_ms")
     dealt = rows.withColumn("period_ms", F.explode(F.array(*[F.lit(p).cast("long") for p in periods_ms]))).withColumn("c", F.cos(w)).withColumn("s", F.sin(w))
     m = lambda e: F.avg(e)
@@ -70,8 +74,9 @@ def lomb_scargle(rows: DataFrame, keys: list[str], periods_ms: list[int]) -> Dat
     a = dealt.groupBy(*keys, "period_ms").agg(m(y).alias("y"), m(c).alias("c"), m(s).alias("s"), m(y * y).alias("yy"), m(y * c).alias("yc"), m(y * s).alias("ys"), m(c * c).alias("cc"), m(s * s).alias("ss"), m(c * s).alias("cs"))
     x = lambda p, q: F.col(p + q) - F.col(p) * F.col(q)
     d = x("c", "c") * x("s", "s") - x("c", "s") * x("c", "s")
-    power = (x("s", "s") * x("y", "c") * x("y", "c") + x("c", "c") * x("y", "s") * x("y", "s") - 2 * x("c", "s") * x("y", "c") * x("y", "s")) / (x("y", "y") * d)
-    return a.select(*keys, "period_ms", power.alias("power"))
+    power = (x("s", "s") * x("y", "c") * x("y", "c") + x("c", "c") * x("y", "s") * x("y", "s") - 2 * x("c", "s") * x("y", "c") * x("y", "s"))
+    share = F.coalesce(F.try_divide(power, x("y", "y") * d), F.lit(0.0))
+    return a.select(*keys, "period_ms", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("power"))
 
 
 def run_rules(rows: DataFrame, keys: list[str], step: int) -> DataFrame:

