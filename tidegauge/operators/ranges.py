@@ -1,10 +1,10 @@
 """Range-vector functions: one set-based plan for every grid time.
 
-A window (t - width, t] whose width is a whole number of steps is a run of tiles (t - step, t]. Samples are reduced to
-one row a tile first, by hash aggregation or a window inside the tile; what crosses the border between two tiles is
+A window (t - width, t] is a run of tiles, whose size divides both the step and the width. Samples are reduced to one row
+a tile first, by hash aggregation or a window inside the tile; what crosses the border between two tiles is
 found by a window over tiles; then each tile, not each sample, is dealt to the windows that hold it. So no sample is
 copied and no task holds a whole series' samples. Functions that need every sample of a window (quantiles, regressions)
-and widths that are no whole number of steps deal the samples themselves. No range join anywhere.
+deal the samples themselves. No range join anywhere.
 """
 
 from __future__ import annotations
@@ -31,9 +31,6 @@ TILED = ("avg", "min", "max", "sum", "count", "last", "first", "present", "stdde
 def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str) -> DataFrame:
     """<how>_over_time for one of TILED. Variances combine by the tiles' own means, which loses no digits."""
     v, ts = F.col("value"), F.col("ts_ms")
-    if width % step:
-        raw = {"avg": F.avg(v), "min": F.min(v), "max": F.max(v), "sum": F.sum(v), "count": F.count(v).cast("double"), "last": F.max_by(v, ts), "first": F.min_by(v, ts), "present": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v)}
-        return over_time(samples, keys, step, width, value=raw[how])
     n, m = F.col("n"), F.col("m")
     tile, combine = {
         "avg": ({"n": F.count(v), "m": F.sum(v)}, F.sum("m") / F.sum("n")),
@@ -47,21 +44,16 @@ def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str)
         "stddev": ({"n": F.count(v), "m": F.avg(v), "s": F.var_pop(v)}, None),
         "stdvar": ({"n": F.count(v), "m": F.avg(v), "s": F.var_pop(v)}, None),
     }[how]
-    tiles = samples.groupBy(*keys, bucket_end(ts, step).alias("tile")).agg(*[x.alias(name) for name, x in tile.items()])
+    tiles = samples.groupBy(*keys, bucket_end(ts, _fine(step, width)).alias("tile")).agg(*[x.alias(name) for name, x in tile.items()])
     if combine is None:
         within = F.sum(n * F.col("s")) / F.sum(n)
         # The spread of the tiles' means, against the mean of a first tile so that no large squares cancel.
         shift = m - F.min_by("m", "tile").over(Window.partitionBy(*keys, "t"))
         spread = F.sum(n * F.col("d") * F.col("d")) / F.sum(n) - F.pow(F.sum(n * F.col("d")) / F.sum(n), 2)
-        dealt = _windows(tiles, keys, step, width).withColumn("d", shift)
+        dealt = _dealt(tiles, step, width).withColumn("d", shift)
         variance = F.greatest(F.lit(0.0), within + spread)
         return dealt.groupBy(*keys, "t").agg((F.sqrt(variance) if how == "stddev" else variance).alias("value"))
-    return _windows(tiles, keys, step, width).groupBy(*keys, "t").agg(combine.alias("value"))
-
-
-def _windows(tiles: DataFrame, keys: list[str], step: int, width: int) -> DataFrame:
-    """Each tile once for every window that holds it, as t."""
-    return tiles.withColumn("t", F.explode(F.sequence(F.col("tile"), F.col("tile") + (width - step), F.lit(step).cast("long"))))
+    return _dealt(tiles, step, width).groupBy(*keys, "t").agg(combine.alias("value"))
 
 
 def _pairs(samples: DataFrame, keys: list[str], step: int) -> DataFrame:
