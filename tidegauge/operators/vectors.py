@@ -25,15 +25,17 @@ def match(left: DataFrame, right: DataFrame, on: list[str], value: Column, many_
     """Vector matching on (t, on): one to one, or many left rows to one right row. Where a match exists, a second row on
     a side that must be unique is an error; rows without a match may repeat. value combines the columns l and r; include
     names right labels to copy. One aggregation by key each side counts and carries its row, so no window is needed."""
-    fail = lambda n: F.assert_true(F.col(n) == 1, F.lit("many-to-many matching"))
+    # The check names columns of both sides, or Spark would move it below the join, to rows that meet nothing.
+    once = lambda ok: F.coalesce(F.assert_true(ok, F.lit("many-to-many matching")).isNull(), F.lit(True))
+    never = F.isnan("l") & (F.col("l") == 0)
     rest = [c for c in left.columns if c not in ("t", "value", *on)]
     r = right.groupBy("t", *on).agg(F.first(F.struct(F.col("value").alias("r"), *(include or []))).alias("right"), F.count("*").alias("n_r"))
     if many_to_one:
-        joined = left.withColumnRenamed("value", "l").join(r, ["t", *on]).filter(F.coalesce(fail("n_r").isNull(), F.lit(True)))
+        joined = left.withColumnRenamed("value", "l").join(r, ["t", *on]).filter(once((F.col("n_r") == 1) | never))
         out = joined.withColumn("r", F.col("right.r")).withColumn("value", value)
         return out.select(*[c for c in left.columns if c not in (include or [])], *[F.col(f"right.{c}").alias(c) for c in include or []])
     l = left.groupBy("t", *on).agg(F.first(F.struct(F.col("value").alias("l"), *rest)).alias("left"), F.count("*").alias("n_l"))  # noqa: E741
-    joined = l.join(r, ["t", *on]).filter(F.coalesce(fail("n_l").isNull() & fail("n_r").isNull(), F.lit(True)))
+    joined = l.join(r, ["t", *on]).filter(once(F.col("n_l") + F.col("n_r") == 2))
     out = joined.select("t", *on, *[F.col(f"left.{c}").alias(c) for c in rest], F.col("left.l").alias("l"), F.col("right.r").alias("r"), *[F.col(f"right.{c}").alias(c) for c in include or []])
     return out.withColumn("value", value).drop("l", "r")
 
