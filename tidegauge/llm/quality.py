@@ -74,9 +74,11 @@ def _features(raw: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, counts: np
         for k in range(_GRAM):
             runs = runs * np.uint64(0x100000001B3) + raw[k : len(raw) - _GRAM + 1 + k]
         runs = (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
-        own = owner[: len(runs)]
+        # Runs that lie whole within a passage, so that its features hang on its own bytes alone.
+        at = place[: len(runs)]
+        inside = (at % PASSAGE_BYTES <= PASSAGE_BYTES - _GRAM) & (at <= np.repeat(sizes, sizes)[: len(runs)] - _GRAM)
         hit = np.zeros(total * _SLOTS, dtype=bool)
-        hit[own * _SLOTS + runs.astype(np.int64)] = True
+        hit[owner[: len(runs)][inside] * _SLOTS + runs[inside].astype(np.int64)] = True
         distinct = hit.reshape(total, _SLOTS).sum(axis=1)
         out[:, 256] = distinct / np.maximum(_expected(bytes_in), 1)
     out[:, 257] = bytes_in / PASSAGE_BYTES
