@@ -28,8 +28,8 @@ from tidegauge.llm.common import WIDE_SLICE_BYTES, table, text_slices
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Remembered pairs of adjacent tokens, and the longest chunk kept in the memo of pieces.
 MAX_PAIRS = 400_000
-MAX_PIECES = 200_000
-MAX_CHUNKS = 300_000
+MAX_PIECES = 400_000
+MAX_CHUNKS = 400_000
 MAX_PIECE_CHARS = 64
 
 

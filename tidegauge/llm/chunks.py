@@ -43,24 +43,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
-def one_by_one(encode: Callable[[str], Sequence[int]], keep: int) -> Callable[[pa.Array, pa.Array], Encoded]:
-    """encode() for many chunks, with a memo of at most about keep of them."""
-    known: dict[str, tuple[int, ...]] = {}
-
-    def many(chunks: pa.Array, before: pa.Array) -> Encoded:
-        if len(known) > keep:
-            known.clear()
-        found = []
-        for x in pc.binary_join_element_wise(before, chunks, pa.scalar("", type=pa.large_string())).to_pylist():
-            ids = known.get(x)
-            if ids is None:
-                ids = known[x] = tuple(encode(x))
-            found.append(ids)
-        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
-
-    return many
-
-
 def parts_of(text: str, size: int) -> Iterator[str]:
     """Consecutive parts of about size characters; all but the first begin with a space that a non-space follows."""
     start = 0
@@ -188,6 +170,19 @@ class _Memo:
         return numbers[coded.indices.to_numpy()]
 
 
+def one_by_one(encode: Callable[[str], Sequence[int]], keep: int) -> Callable[[pa.Array, pa.Array], Encoded]:
+    """encode() for many chunks, with a memo of at most about keep of them."""
+    memo = _Memo(encode)
+
+    def many(chunks: pa.Array, before: pa.Array) -> Encoded:
+        if len(memo.keys) > keep:
+            memo.clear()
+        at = memo.numbers(pc.binary_join_element_wise(before, chunks, pa.scalar("", type=pa.large_string())))
+        return gather(memo.flat, memo.starts[at], memo.lengths[at]), memo.lengths[at]
+
+    return many
+
+
 class _Units:
     """Ids of chunks through the library. A plain Latin word with a run of marks after it is two units, which go to the
     library's model without the pre-tokeniser, since that would cut there alone; any other chunk is one unit and takes
