@@ -191,27 +191,23 @@ def _nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     bounds = np.append(first, len(ids)).tolist()
     asked, q = queries["query_id"].to_numpy(), np.stack(queries["query"].to_numpy()).astype(np.float64)
     visits = np.stack([np.frombuffer(m, dtype=np.uint8) for m in queries["mask"]])[:, cells]
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in asked]
-    reach = np.zeros(len(asked))
-    for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        own = np.flatnonzero(visits[:, c])
-        for at in range(0, len(own), 256):
-            rows = own[at : at + 256]
-            near = q[rows] @ x[a:b].T
-            reach[rows] = np.maximum(reach[rows], np.abs(near).max(axis=1))
-            near[asked[rows][:, None] == ids[a:b]] = -np.inf
-            edge = np.partition(near, b - a - min(k, b - a), axis=1)[:, b - a - min(k, b - a)] - 1e-9 * reach[rows]
-            for row, scores, least in zip(rows.tolist(), near, edge, strict=True):
-                best = np.flatnonzero((scores >= least) & np.isfinite(scores))
-                found[row].append((best + a, scores[best]))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for row, parts in enumerate(found):
-        own, scores = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, dtype=np.int64), np.empty(0))
-        if len(own) > k:
-            own = own[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * reach[row]]
-        score = (x[own] * q[row]).sum(axis=1)
-        best = np.lexsort((ids[own], -score))[:k]
-        out.append((np.full(len(best), asked[row]), ids[own][best], score[best]))
+    for at in range(0, len(asked), 256):
+        part = slice(at, at + 256)
+        near = np.full((len(asked[part]), len(ids)), -np.inf)
+        for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            rows = np.flatnonzero(visits[part, c])
+            if len(rows):
+                near[rows, a:b] = q[part][rows] @ x[a:b].T
+        near[asked[part][:, None] == ids] = -np.inf
+        n = min(k, len(ids))
+        reach = 1e-9 * np.abs(np.where(np.isfinite(near), near, 0)).max(axis=1)
+        edge = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n] - reach
+        for row, (scores, least) in enumerate(zip(near, edge, strict=True), at):
+            own = np.flatnonzero((scores >= least) & np.isfinite(scores))
+            score = (x[own] * q[row]).sum(axis=1)
+            best = np.lexsort((ids[own], -score))[:k]
+            out.append((np.full(len(best), asked[row]), ids[own][best], score[best]))
     return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
 
