@@ -80,7 +80,7 @@ def families(names: DataFrame, support: int = MIN_SUPPORT) -> DataFrame:
     words = F.split("name", "_")
     at = F.explode(F.sequence(F.lit(0), F.size(words) - 1))
     dealt = names.select("name").distinct().withColumn("i", at)
-    template = F.array_join(F.transform(words, lambda w, j: F.when(j == F.col("i"), "*").otherwise(w)), "_")
+    template = F.concat_ws("_", F.slice(words, F.lit(1), F.col("i")), F.lit("*"), F.slice(words, F.col("i") + 2, F.size(words)))
     dealt = dealt.select("name", "i", template.alias("family"), F.get(words, F.col("i")).alias("word"))
     # Within a family of one place, each name has a word of its own: the rows are the support.
     large = dealt.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") >= support)

@@ -15,6 +15,11 @@ def presence(samples: DataFrame, keys: list[str], step: int, start: int, end: in
     """observed, expected, state and flags on the grid (start, end] of each series. A series expects its own median
     count; it is ABSENT before its first sample; buckets that overlap a failed span are UNKNOWN and expect nothing."""
     counts = samples.groupBy(*keys, bucket_end(F.col("ts_ms"), step).alias("ts_ms")).agg(F.count("*").cast("double").alias("observed"))
+    return of_counts(counts, keys, step, start, end, failed)
+
+
+def of_counts(counts: DataFrame, keys: list[str], step: int, start: int, end: int, failed: list[tuple[int, int]] | None = None) -> DataFrame:
+    """presence() from the samples of each bucket, (keys, ts_ms, observed), where a dataset holds them already."""
     series = counts.groupBy(*keys).agg(F.min("ts_ms").alias("first"), F.percentile("observed", F.lit(0.5)).alias("usual"))
     grid = series.withColumn("ts_ms", F.explode(F.sequence(F.lit(start + step), F.lit(end), F.lit(step)).cast("array<bigint>")))
     rows = grid.join(counts, [*keys, "ts_ms"], "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
