@@ -14,8 +14,9 @@ SETTLE = "5 minutes"
 def rollup(stream: DataFrame, keys: list[str], step_ms: int, settle: str = SETTLE) -> DataFrame:
     """keys, ts_ms, avg, min, max, count from a stream with ts and value. Spark's windows are [start, end); a sample is
     moved back by one millisecond, so that they become (start, end] and carry their end."""
-    shifted = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", settle)
-    window = F.window(F.col("ts") - F.expr("INTERVAL 1 MILLISECOND"), f"{step_ms // UNITS['s']} seconds")
+    # The watermark stands on the column that the window is taken of; on the unshifted one it would be lost.
+    shifted = stream.withColumn("ts", F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 MILLISECOND")).withWatermark("ts", settle)
+    window = F.window("ts", f"{step_ms // UNITS['s']} seconds")
     rows = shifted.groupBy(*keys, window.alias("w")).agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))
     return rows.select(*keys, F.unix_millis("w.end").alias("ts_ms"), "avg", "min", "max", "count")
 
