@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidegauge.plans import catalogue, expressions, kernels, metadata, shapes  # noqa: F401  register on import
+    from tidegauge.plans import catalogue, discovery, expressions, kernels, metadata, shapes  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:
