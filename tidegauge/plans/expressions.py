@@ -41,15 +41,16 @@ def _query(name: str, text: str, with_sql: str, select: str, *labels: str) -> No
 _BOTH = ("event_type", "instance")
 for _name, _text, _sql in (
     ("abs", f"abs({M})", "abs(value)"),
-    ("ceil", f"ceil({M})", "ceil(value)"),
-    ("floor", f"floor({M})", "floor(value)"),
+    # 1e-4 keeps means that are whole numbers, whatever order they were summed in, on one side of a jump.
+    ("ceil", f"ceil({M} + 1e-4)", "ceil(value + 1e-4)"),
+    ("floor", f"floor({M} + 1e-4)", "floor(value + 1e-4)"),
     ("exp", f"exp({M} / 50)", "exp(value / 50)"),
     ("log2", f"log2(abs({M}) + 1)", "log2(abs(value) + 1)"),
     ("log10", f"log10(abs({M}) + 1)", "log10(abs(value) + 1)"),
-    ("sgn", f"sgn({M})", "sign(value)"),
+    ("sgn", f"sgn({M} + 1e-4)", "sign(value + 1e-4)"),
     ("deg", f"deg({M})", "degrees(value)"),
     ("rad", f"rad({M})", "radians(value)"),
-    ("round", f"round({M}, 0.5)", "floor(value / 0.5 + 0.5) * 0.5"),
+    ("round", f"round({M} + 1e-4, 0.5)", "floor((value + 1e-4) / 0.5 + 0.5) * 0.5"),
     ("clamp_min", f"clamp_min({M}, 0)", "greatest(value, 0)"),
     ("clamp_max", f"clamp_max({M}, 0)", "least(value, 0)"),
     ("neg", f"-{M}", "-value"),
@@ -57,17 +58,17 @@ for _name, _text, _sql in (
     ("mul", f"2 * {M}", "2 * value"),
     ("pow", f"({M} ^ 2) ^ 0.25", "pow(pow(value, 2), 0.25)"),
     ("atan2", f"{M} atan2 10", "atan2(value, 10)"),
-    ("mod", f"{M} % 7", "value - 7 * trunc(value / 7)"),
-    ("cmp_eq_bool", f"floor({M}) == bool 0", "floor(value) = 0"),
-    ("cmp_ne_bool", f"floor({M}) != bool 0", "floor(value) <> 0"),
-    ("cmp_lt_bool", f"{M} < bool 0", "value < 0"),
-    ("cmp_ge_bool", f"0 >= bool {M}", "0 >= value"),
+    ("mod", f"({M} + 1e-4) % 7", "value + 1e-4 - 7 * trunc((value + 1e-4) / 7)"),
+    ("cmp_eq_bool", f"floor({M} + 1e-4) == bool 0", "floor(value + 1e-4) = 0"),
+    ("cmp_ne_bool", f"floor({M} + 1e-4) != bool 0", "floor(value + 1e-4) <> 0"),
+    ("cmp_lt_bool", f"{M} < bool 1e-4", "value < 1e-4"),
+    ("cmp_ge_bool", f"1e-4 >= bool {M}", "1e-4 >= value"),
     ("time", f"{M} * 0 + time()", "t / 1000"),
     ("label_join", f'label_join({M}, "both", "/", "event_type", "instance")', "value"),
 ):
     _query(_name, _text, _MM, f"{_sql} ; FROM M", *_BOTH)
 
-_query("cmp_le_filter", f"{M} <= 0", _MM, "value ; FROM M WHERE value <= 0", *_BOTH)
+_query("cmp_le_filter", f"{M} <= 1e-4", _MM, "value ; FROM M WHERE value <= 1e-4", *_BOTH)
 _query("clamp_empty", f"clamp({M}, 1, 0)", _MM, "value ; FROM M WHERE 1 > 2", *_BOTH)
 _query("sel_instant", 'value{event_type=~"c.*|view"}', _V, "value ; FROM V WHERE event_type LIKE 'c%' OR event_type = 'view'", *_BOTH)
 _query("sel_not_regex", 'value{event_type!~"c.*|view"}', _V, "value ; FROM V WHERE NOT (event_type LIKE 'c%' OR event_type = 'view')", *_BOTH)
@@ -77,7 +78,7 @@ _query("offset", "value offset 6h", f"{_GI}, V AS (SELECT t, event_type, instanc
 _query("at_end", "max_over_time(value[6h] @ end())", f"{_GI}, E AS (SELECT event_type, instance, max(value) AS value FROM GI WHERE ts_ms > (SELECT max(t) FROM grid) - {SIX} AND ts_ms <= (SELECT max(t) FROM grid) GROUP BY ALL)", "value ; FROM E, grid", *_BOTH)
 _query("by", f"sum by (event_type) ({M})", _MM, "sum(value) ; FROM M GROUP BY t, event_type", "event_type")
 _query("without", f"max without (instance) ({M})", _MM, "max(value) ; FROM M GROUP BY t, event_type", "event_type")
-_query("count_values", f'count_values("event_type", sgn({M}))', _MM, "count(*) ; FROM (SELECT t, CASE WHEN value > 0 THEN '1' WHEN value < 0 THEN '-1' ELSE '0' END AS event_type FROM M) GROUP BY t, event_type", "event_type")
+_query("count_values", f'count_values("event_type", sgn({M} + 1e-4))', _MM, "count(*) ; FROM (SELECT t, CASE WHEN value > -1e-4 THEN '1' ELSE '-1' END AS event_type FROM M) GROUP BY t, event_type", "event_type")
 _query("topk", f"topk by (event_type) (2, {M})", _MM, "value ; FROM M QUALIFY row_number() OVER (PARTITION BY t, event_type ORDER BY value DESC, instance) <= 2", *_BOTH)
 _query("quantile_above_one", f"clamp_max(quantile by (event_type) (1.5, {M}), 1000)", _MM, "1000 ; FROM M GROUP BY t, event_type", "event_type")
 _query("quantile_over_time_below_zero", "clamp_min(quantile_over_time(-1, hits[12h]), -1000)", f"{_GI}, H AS (SELECT t, event_type FROM grid JOIN C ON ts_ms > t - {HALF_DAY} AND ts_ms <= t GROUP BY ALL)", "-1000 ; FROM H", "event_type")
@@ -88,8 +89,8 @@ _query("on_cmp", f"{_CLICK} > on(instance) {_VIEW}", _PAIR, "L.value ; FROM L JO
 _query("group_left", f"{M} / on(event_type) group_left() sum by (event_type) (abs({M}))", f"{_MM}, T AS (SELECT t, event_type, sum(abs(value)) AS total FROM M GROUP BY ALL)", "value / total ; FROM M JOIN T USING (t, event_type)", *_BOTH)
 _query("group_right", f"count by (event_type) ({M}) * on(event_type) group_right() {M}", f"{_MM}, T AS (SELECT t, event_type, count(*) AS total FROM M GROUP BY ALL)", "value * total ; FROM M JOIN T USING (t, event_type)", *_BOTH)
 _query("group_left_include", f'{_CLICK} * on(instance) group_left(kind) label_replace({_VIEW}, "kind", "$1-kind", "event_type", "(..).*")', _PAIR + ", K AS (SELECT t, L.event_type, instance, 'vi-kind' AS kind, L.value * R.value AS value FROM L JOIN R USING (t, instance))", "value ; FROM K", "event_type", "instance", "kind")
-_query("set_and", f"{_CLICK} and on(instance) ({_VIEW} > 0)", _PAIR, "value ; FROM L WHERE EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance AND R.value > 0)", *_BOTH)
-_query("set_unless", f"{_CLICK} unless ignoring(event_type) ({_VIEW} > 0)", _PAIR, "value ; FROM L WHERE NOT EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance AND R.value > 0)", *_BOTH)
+_query("set_and", f"{_CLICK} and on(instance) ({_VIEW} > 1e-4)", _PAIR, "value ; FROM L WHERE EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance AND R.value > 1e-4)", *_BOTH)
+_query("set_unless", f"{_CLICK} unless ignoring(event_type) ({_VIEW} > 1e-4)", _PAIR, "value ; FROM L WHERE NOT EXISTS (SELECT 1 FROM R WHERE R.t = L.t AND R.instance = L.instance AND R.value > 1e-4)", *_BOTH)
 _query("set_or", f"{_CLICK} or on(instance) {_VIEW}", _PAIR + ", U AS (SELECT * FROM L UNION ALL SELECT * FROM R WHERE NOT EXISTS (SELECT 1 FROM L WHERE R.t = L.t AND R.instance = L.instance))", "value ; FROM U", *_BOTH)
 _query("absent", 'absent(value{event_type="click", instance="3"})', _V, "1 ; FROM (SELECT t, 'click' AS event_type, '3' AS instance FROM grid WHERE t NOT IN (SELECT t FROM V WHERE event_type = 'click' AND instance = '3'))", *_BOTH)
 _query("scalar", f"{M} - scalar(sum({M}))", f"{_MM}, T AS (SELECT t, sum(value) AS total FROM M GROUP BY t)", "value - total ; FROM M JOIN T USING (t)", *_BOTH)

@@ -56,7 +56,7 @@ SELECT metric, field, origin, value, round(confidence, 7) AS confidence, ts_ms F
     lambda s, d: rounded(catalog.put_claims(catalog.put_claims(claim_rows(s, d).limit(0), claim_rows(s, d).filter("metric < 25")), claim_rows(s, d).filter("metric >= 20")), "confidence")
 )
 _ED = "('b', 'a', 'same', 0.5, 1), ('a', 'b', 'same', 0.9, 0), ('a', 'b', 'part', 0.1, 1), ('b', 'a', 'part', 0.2, 1), ('c', 'c', 'same', 1.0, 1)"
-register("catalog_relations", "SELECT * FROM (VALUES ('a', 'b', 'same', 0.9, 0), ('a', 'b', 'part', 0.1, 1), ('b', 'a', 'part', 0.2, 1)) v(a, b, kind, confidence, ts_ms)")(lambda s, d: catalog.relations(values(s, _ED, "a, b, kind, confidence, ts_ms").withColumn("confidence", F.col("confidence").cast("double")), ("same",)))
+register("catalog_relations", "SELECT * FROM (VALUES ('a', 'b', 'same', 0.9::DOUBLE, 0), ('a', 'b', 'part', 0.1, 1), ('b', 'a', 'part', 0.2, 1)) v(a, b, kind, confidence, ts_ms)")(lambda s, d: catalog.relations(values(s, _ED, "a, b, kind, confidence, ts_ms").withColumn("confidence", F.col("confidence").cast("double")), ("same",)))
 _PK = "('m_.*', TRUE, 'owner', 'infra'), ('m_1', FALSE, 'owner', 'web'), ('m_1.', TRUE, 'owner', 'data')"
 register("catalog_packs", f"WITH {_CM} SELECT name AS metric, 'owner' AS field, 'pack' AS origin, CASE WHEN name = 'm_1' THEN 'web' ELSE 'infra' END AS value FROM ME")(lambda s, d: catalog.pack_claims(user_metrics(s, d), values(s, _PK, "pattern, is_regex, field, value").filter("value <> 'data'")))
 _RO = "('http_requests_total', 'counter'), ('http_request_errors_total', 'counter'), ('request_latency', 'gauge'), ('queue_pending', 'gauge'), ('noise', 'gauge')"

@@ -29,13 +29,13 @@ def special(x: str) -> str:
 
 
 # --- sequences over hourly buckets ---
-_Z = f"{B}, Z AS (SELECT event_type, ts_ms, round((avg - quantile_cont(avg, 0.5) OVER (PARTITION BY event_type)) / 20, 6) AS z FROM B)"
+_Z = f"{B}, Z AS (SELECT event_type, ts_ms, round((avg - quantile_cont(avg, 0.5) OVER (PARTITION BY event_type)) / 20 + 1e-9, 6) AS z FROM B)"
 
 
 def standard(s: SparkSession, d: str) -> DataFrame:
     rows = hourly(s, d)
     mid = rows.groupBy("event_type").agg(F.percentile("avg", F.lit(0.5)).alias("m"))
-    return rows.join(mid, "event_type").select("event_type", "ts_ms", F.round((F.col("avg") - F.col("m")) / 20, 6).alias("z"))
+    return rows.join(mid, "event_type").select("event_type", "ts_ms", F.round((F.col("avg") - F.col("m")) / 20 + 1e-9, 6).alias("z"))
 
 
 _GAP = f"(greatest(0, coalesce((ts_ms - lag(ts_ms) OVER o) / {HOUR} - 1, 0)))::DOUBLE"
