@@ -103,6 +103,51 @@ def test_near_duplicates_keep_a_borderline_link(spark):
     assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("hot", [2, 4_000])
+def test_a_split_bucket_keeps_a_link_that_no_other_band_shows(spark, monkeypatch, hot):
+    """8 of 10 words in common, so just a link, and signatures that agree in one whole band of 25. That band's bucket
+    holds twelve texts more, each with the words of its four minima; the first of them is its centre."""
+    make_importable(spark)
+    monkeypatch.setattr(minhash, "HOT_STRAYS", hot)
+
+    def minima(texts):
+        return minhash.signatures(*minhash.shingle_hashes(pa.array(texts), 1)).reshape(-1, minhash.BANDS, minhash.ROWS)
+
+    words = [f"p3151x{i}" for i in range(10)]
+    pair = [" ".join(words[:9]), " ".join([*words[:8], words[9]])]
+    same = np.flatnonzero((np.equal(*minima(pair))).all(axis=1))
+    assert len(same) == 1
+    band = minima(pair)[0, same[0]]
+    hold = [w for w in words[:8] if (minima([w])[0, same[0]] == band).any()]
+    free = [w for w in (f"f{i}" for i in range(600)) if (minima([w])[0, same[0]] > band).all()]
+    texts = [" ".join([*hold, *free[30 * i : 30 * i + 30]]) for i in range(12)] + pair
+    assert (minima(texts)[:, same[0]] == band).all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 1, 80).collect()}
+    assert got == {i: i for i in range(13)} | {13: 12}
+
+
+@pytest.mark.parametrize("percent", [50, 60, 80, 85, 95, 100])
+def test_close_signatures_share_a_part(spark, percent):
+    """Signatures that agree in one whole band and in just as many places as a candidate has to."""
+    make_importable(spark)
+    rng, size = np.random.default_rng(percent), minhash.BANDS * minhash.ROWS
+    rows = []
+    for i in range(60):
+        band = int(rng.integers(0, minhash.BANDS))
+        others = np.setdiff1d(np.arange(size), np.arange(band * minhash.ROWS, (band + 1) * minhash.ROWS))
+        apart = rng.permutation(others)[: size - minhash.least_agreement(percent)]
+        left = rng.integers(0, 128, size)
+        right = left.copy()
+        right[apart] = (right[apart] + 1) % 128
+        rows += [(i, band, left.tolist()), (i, band, right.tolist())]
+    pairs = spark.createDataFrame(rows, "pair long, band int, signature array<int>").select("pair", minhash._part_keys(percent).alias("keys"))
+    found: dict[int, list[set]] = {}
+    for r in pairs.collect():
+        found.setdefault(r["pair"], []).append(set(r["keys"]))
+    assert len(found) == 60 and all(a & b for a, b in found.values())
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
 def test_prefilter_loses_no_more_than_the_banding(percent):
     rest = 1 - percent / 100

@@ -9,9 +9,10 @@ members of other components there, so that every bucket is settled for each pair
 block: first on signatures, where each block gives a spanning forest of the pairs that agree closely enough, and then
 within the clusters so found on whole sets, where each block gives a spanning forest of true links. Before that, a
 candidate is checked by signature and then on the full sets. Components come from alternating large-star and small-star.
-A bucket with very many members outside its commonest component is first split by the other bands, so that what is
-compared grows with the members that agree in two bands, not with the square of the bucket; a link is missed there only
-if no other band agrees, which the binomial law makes as rare as a link that the banding itself misses.
+A bucket with very many members outside its commonest component is first split into overlapping parts, if that saves
+comparisons. The places outside its band are dealt to so many groups that two signatures close enough to be candidates
+differ in one place at most of some group; a part holds the members that agree in a group but for one place. So no
+candidate is lost, and the result is the same with the split and without it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut_lineage, partitions, remove, stored, table, text_slices
@@ -40,8 +41,9 @@ SEED = 17
 BLOCK = 1_000
 #: Small groups are dealt together until they weigh this many blocks, since each call of the comparison has its price.
 SIGNATURE_BLOCKS, SET_BLOCKS = 8, 1
-#: A bucket with more members than this outside its commonest component is split by the other bands.
-HOT_STRAYS = 4_000
+#: A bucket with more members than this outside its commonest component is split, if so many of its members, tried
+#: first, show that the parts at least halve the comparisons. Neither changes the result; at 20,000 parts cost more.
+HOT_STRAYS, HOT_TRIED = 100_000, 256
 #: Tasks of a comparison at most.
 MAX_TASKS = 20_000
 #: Nodes with more edges meet their least neighbour by broadcast, not in one task.
@@ -355,16 +357,35 @@ def _strays(placed: DataFrame, group: str) -> DataFrame:
     return found.select(group, F.col("hub.root").alias("hub"), "w", (F.col("w") - F.col("hub.w")).alias("strays"))
 
 
-def _split_hot(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """placed(bucket, node, root) with each hot bucket replaced by its parts that agree in another band as well."""
-    hot = cut_lineage(_strays(placed.withColumn("weight", F.lit(1)), "bucket").filter(F.col("strays") > HOT_STRAYS).select("bucket"))
+def _part_keys(percent: int) -> Column:
+    """Keys of signature, one for each place outside band. Of two signatures in a bucket that agree in
+    least_agreement(percent) places, d places at most differ, all outside the band. In d // 2 + 1 groups of places some
+    group has no two of them, so the key that leaves out the one (or any) place of that group is the same for both."""
+    others, groups = (BANDS - 1) * ROWS, (BANDS * ROWS - least_agreement(percent)) // 2 + 1
+    cuts = [others * i // groups for i in range(groups + 1)]
+    spans = [F.struct(F.lit(at).alias("at"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for at in range(a, b)]
+    rest = F.concat(F.slice("signature", 1, F.col("band") * ROWS), F.slice("signature", F.col("band") * ROWS + ROWS + 1, others))
+    return F.transform(F.array(*spans), lambda x: F.xxhash64(x["at"], F.slice(rest, x["a"] + 1, x["at"] - x["a"]), F.slice(rest, x["at"] + 2, x["b"] - x["at"] - 1)))
+
+
+def _split_hot(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """placed(bucket, node, root) with hot buckets replaced by their parts, where these save comparisons. nodes hold the
+    signatures that are compared; every pair of them that is near is together in a part."""
+    strays = lambda rows, group: _strays(rows.withColumn("weight", F.lit(1)), group).withColumn("pairs", F.col("strays").cast("double") * F.col("w"))
+    hot = cut_lineage(strays(placed, "bucket").filter(F.col("strays") > HOT_STRAYS).select("bucket"))
     n = hot.count()
     if n == 0:
         return placed
-    few = F.broadcast(hot) if n <= MAX_BROADCAST_IDS else hot
-    parts = placed.join(few, "bucket").join(nodes.select("node", F.explode(_bands()).alias("other")), "node").filter("other <> bucket")
-    parts = parts.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "root")
-    return cut_lineage(placed.join(few, "bucket", "left_anti").select("bucket", "node", "root").unionByName(parts))
+    few = lambda buckets: F.broadcast(buckets) if n <= MAX_BROADCAST_IDS else buckets
+    signed = nodes.select("node", "brief", F.posexplode(_bands()).alias("band", "bucket")).join(few(hot), "bucket")
+    members = cut_lineage(placed.join(few(hot), "bucket").join(signed, ["bucket", "node"]).select("bucket", "node", "root", "band", F.col("brief").alias("signature")))
+    parts = lambda rows: rows.select("bucket", "node", "root", F.explode(_part_keys(percent)).alias("part")).withColumn("part", F.struct("bucket", "part"))
+    tried = cut_lineage(members.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))).filter(F.col("turn") <= HOT_TRIED))
+    after = strays(parts(tried), "part").groupBy(F.col("part.bucket").alias("bucket")).agg(F.sum("pairs").alias("after"))
+    worse = strays(tried, "bucket").join(after, "bucket").filter(F.col("after") * 2 > F.col("pairs")).select("bucket")
+    split = cut_lineage(hot.join(worse, "bucket", "left_anti"))
+    whole = placed.join(few(split), "bucket", "left_anti").select("bucket", "node", "root")
+    return cut_lineage(whole.unionByName(parts(members.join(few(split), "bucket")).select(F.xxhash64("part").alias("bucket"), "node", "root")))
 
 
 def _signatures_near(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -401,8 +422,8 @@ def _last_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, p
     """Links (a, b) that join every two components with a link between members of a bucket. Signatures first gather
     such members into clusters; each cluster's sets are then compared whole. Neither step lists all pairs."""
     # Seven bits of each minimum: agreement can only be overrated, so no candidate is lost, and rows are a quarter as wide.
-    brief = F.transform("signature", lambda x: x.bitwiseAND(F.lit(127)).cast("byte")).alias("signature")
-    close = _split_hot(placed, nodes).join(nodes.select("node", brief), "node")
+    brief = F.transform("signature", lambda x: x.bitwiseAND(F.lit(127)).cast("byte"))
+    close = _split_hot(placed, nodes.withColumn("brief", brief), percent).join(nodes.select("node", brief.alias("signature")), "node")
     clusters = components(_forest_of_strays(close, "bucket", "signature", F.lit(1), BLOCK, SIGNATURE_BLOCKS, _signatures_near(percent)))
     clusters = cut_lineage(clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster"))).distinct())
     sets = shingle_sets(_fetch_texts(texts, nodes, clusters), k)
