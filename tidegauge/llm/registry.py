@@ -8,8 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.bpe import op10_byte_bpe
+from tidegauge.llm.divergence import ORACLE as DIVERGENCE_ORACLE
+from tidegauge.llm.divergence import op12_source_divergence
 from tidegauge.llm.fingerprints import ORACLE as FINGERPRINT_ORACLE
 from tidegauge.llm.fingerprints import op8_fingerprints
+from tidegauge.llm.grace_dedup import ORACLE as GRACE_ORACLE
+from tidegauge.llm.grace_dedup import op11_grace_dedup
+from tidegauge.llm.hard_negatives import ORACLE as NEGATIVES_ORACLE
+from tidegauge.llm.hard_negatives import op13_hard_negatives
 from tidegauge.llm.language import op1_language_id
 from tidegauge.llm.minhash import ORACLE as MINHASH_ORACLE
 from tidegauge.llm.minhash import op3_minhash_dedup
@@ -25,8 +31,30 @@ from tidegauge.session import make_importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL: tuple[Query, ...] = (op1_language_id, op2_sharding, op3_minhash_dedup, op4_multi_index, op5_token_files, op6_packing, op7_pii, op8_fingerprints, op9_quality, op10_byte_bpe)
-_ORACLES: dict[str, str | None] = {"op2_sharding": SHARDING_ORACLE, "op3_minhash_dedup": MINHASH_ORACLE, "op4_multi_index": SEARCH_ORACLE, "op8_fingerprints": FINGERPRINT_ORACLE}
+_ALL: tuple[Query, ...] = (
+    op1_language_id,
+    op2_sharding,
+    op3_minhash_dedup,
+    op4_multi_index,
+    op5_token_files,
+    op6_packing,
+    op7_pii,
+    op8_fingerprints,
+    op9_quality,
+    op10_byte_bpe,
+    op11_grace_dedup,
+    op12_source_divergence,
+    op13_hard_negatives,
+)
+_ORACLES: dict[str, str | None] = {
+    "op2_sharding": SHARDING_ORACLE,
+    "op3_minhash_dedup": MINHASH_ORACLE,
+    "op4_multi_index": SEARCH_ORACLE,
+    "op8_fingerprints": FINGERPRINT_ORACLE,
+    "op11_grace_dedup": GRACE_ORACLE,
+    "op12_source_divergence": DIVERGENCE_ORACLE,
+    "op13_hard_negatives": NEGATIVES_ORACLE,
+}
 
 
 def _importable(query: Query) -> Query:
