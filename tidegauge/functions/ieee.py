@@ -58,8 +58,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def round_to(x: Column, unit: float) -> Column:
-    """Nearest multiple of unit, halves up."""
-    return F.floor(x / unit + 0.5) * unit
+    """Nearest multiple of unit, halves up; NaN and infinities stay, and a unit of 0 has no multiple but NaN."""
+    if unit == 0 or unit != unit:
+        return F.when(x.isNotNull(), F.lit(NAN))
+    return F.when(F.isnan(x) | (F.abs(x) == INF), x).otherwise(F.floor(x / unit + 0.5) * unit)
 
 
 def quantile(x: Column, q: float) -> Column:

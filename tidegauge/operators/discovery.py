@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.timegrid import bucket_end
+from tidegauge.functions.quantiles import quantiles
+from tidegauge.operators.ranges import pairs
+from tidegauge.operators.series import distances
 
 
 def labels_of(points: DataFrame) -> DataFrame:
@@ -22,17 +24,16 @@ def ended(points: DataFrame, keys: list[str], end: int, lookback: int) -> DataFr
 
 
 def reset_buckets(samples: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """(keys, ts_ms, resets) of buckets in which a counter fell. The fall is counted at the sample that shows it."""
-    before = F.lag("value").over(Window.partitionBy(*keys).orderBy("ts_ms"))
-    rows = samples.withColumn("fell", F.col("value") < before)
-    return rows.filter("fell").groupBy(*keys, bucket_end(F.col("ts_ms"), step).alias("ts_ms")).agg(F.count("*").alias("resets"))
+    """(keys, ts_ms, resets) of buckets in which a counter fell. The fall is counted at the sample that shows it; falls
+    from one bucket to the next are found at the buckets' borders, and NaN neither falls nor is fallen from."""
+    fell = F.col("resets") + F.col("border_resets")
+    return pairs(samples, keys, step).select(*keys, F.col("tile").alias("ts_ms"), fell.alias("resets")).filter("resets > 0")
 
 
 def resolution(samples: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(resolution, series): the commonest median spacing of series with enough samples; the smaller of two as common."""
-    d = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(*keys).orderBy("ts_ms"))
-    each = samples.withColumn("d", d).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("spacing")).filter(F.col("n") >= least)
-    return each.groupBy(F.col("spacing").alias("resolution")).agg(F.count("*").alias("series")).orderBy(F.desc("series"), "resolution").limit(1)
+    each = quantiles(distances(samples, keys), keys, "d", {"resolution": 0.5}).filter(F.col("n") >= least - 1)
+    return each.groupBy("resolution").agg(F.count("*").alias("series")).orderBy(F.desc("series"), "resolution").limit(1)
 
 
 def member_label(points: DataFrame) -> DataFrame:

@@ -28,6 +28,21 @@ def over_time(samples: DataFrame, keys: list[str], step: int, width: int, **func
 TILED = ("avg", "min", "max", "sum", "count", "last", "first", "present", "stddev", "stdvar")
 
 
+def greatest(x: Column) -> Column:
+    """Aggregate: the greatest value. Spark orders NaN above all numbers; here it counts only where nothing else is."""
+    return F.coalesce(F.max(F.when(~F.isnan(x), x)), F.max(x))
+
+
+def falls(after: Column, before: Column) -> Column:
+    """Does after lie below before? Not where either is NaN."""
+    return F.coalesce((after < before) & ~F.isnan(after) & ~F.isnan(before), F.lit(False))
+
+
+def known(after: Column, before: Column) -> Column:
+    """Are both there and numbers?"""
+    return after.isNotNull() & before.isNotNull() & ~F.isnan(after) & ~F.isnan(before)
+
+
 def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str) -> DataFrame:
     """<how>_over_time for one of TILED. Variances combine by the tiles' own means, which loses no digits."""
     v, ts = F.col("value"), F.col("ts_ms")
@@ -35,7 +50,7 @@ def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str)
     tile, combine = {
         "avg": ({"n": F.count(v), "m": F.sum(v)}, F.sum("m") / F.sum("n")),
         "min": ({"m": F.min(v)}, F.min("m")),
-        "max": ({"m": F.max(v)}, F.max("m")),
+        "max": ({"m": greatest(v)}, greatest(F.col("m"))),
         "sum": ({"m": F.sum(v)}, F.sum("m")),
         "count": ({"m": F.count(v)}, F.sum("m").cast("double")),
         "last": ({"m": F.max_by(v, ts)}, F.max_by("m", "tile")),
@@ -56,23 +71,30 @@ def folded(samples: DataFrame, keys: list[str], step: int, width: int, how: str)
     return _dealt(tiles, step, width).groupBy(*keys, "t").agg(combine.alias("value"))
 
 
-def _pairs(samples: DataFrame, keys: list[str], step: int) -> DataFrame:
+def pairs(samples: DataFrame, keys: list[str], step: int) -> DataFrame:
     """One row a tile: n, first and last sample, and over neighbouring samples inside the tile what a counter lost at
-    resets, the number of changes and of falls; border_*: the same between the tile before and this one."""
+    resets, the number of changes, of falls, of rises and of pairs without NaN; border_*: the same between the tile before
+    and this one. Samples of one time follow each other by value."""
     rows = samples.select(*keys, "ts_ms", "value", bucket_end(F.col("ts_ms"), step).alias("tile"))
-    inside = Window.partitionBy(*keys, "tile").orderBy("ts_ms")
-    before = F.lag("value").over(inside)
-    rows = rows.withColumn("before", before).withColumn("before_ts", F.lag("ts_ms").over(inside))
+    inside = Window.partitionBy(*keys, "tile").orderBy("ts_ms", "value")
+    rows = rows.withColumn("before", F.lag("value").over(inside)).withColumn("before_ts", F.lag("ts_ms").over(inside))
+    v, p = F.col("value"), F.col("before")
     own = F.struct("ts_ms", "value")
     tiles = rows.groupBy(*keys, "tile").agg(
-        F.count("*").alias("n"), F.min(own).alias("a"), F.max_by(F.struct("ts_ms", "value", "before_ts", "before"), "ts_ms").alias("b"),
-        F.sum(F.when(F.col("value") < F.col("before"), F.col("before")).otherwise(0.0)).alias("lost"),
-        F.count_if(F.col("value") != F.col("before")).alias("changes"), F.count_if(F.col("value") < F.col("before")).alias("resets"),
-    )
-    last = F.lag("b").over(Window.partitionBy(*keys).orderBy("tile"))
-    tiles = tiles.withColumn("p", last)
-    fell = F.col("a.value") < F.col("p.value")
-    return tiles.withColumn("border_lost", F.when(fell, F.col("p.value")).otherwise(0.0)).withColumn("border_changes", F.when(F.col("a.value") != F.col("p.value"), 1).otherwise(0)).withColumn("border_resets", F.when(fell, 1).otherwise(0))
+        F.count("*").alias("n"),
+        F.min(own).alias("a"),
+        F.max(F.struct("ts_ms", "value", "before_ts", "before")).alias("b"),
+        F.sum(F.when(falls(v, p), p).otherwise(0.0)).alias("lost"),
+        F.count_if(v != p).alias("changes"),
+        F.count_if(falls(v, p)).alias("resets"),
+        F.count_if(falls(p, v)).alias("rises"),
+        F.count_if(known(v, p)).alias("known"),
+    )
+    tiles = tiles.withColumn("p", F.lag("b").over(Window.partitionBy(*keys).orderBy("tile")))
+    v, p = F.col("a.value"), F.col("p.value")
+    border = {"lost": F.when(falls(v, p), p).otherwise(0.0)}
+    border |= {name: F.coalesce(x, F.lit(False)).cast("int") for name, x in (("changes", v != p), ("resets", falls(v, p)), ("rises", falls(p, v)), ("known", known(v, p)))}
+    return tiles.withColumns({f"border_{name}": x for name, x in border.items()})
 
 
 def _summed(name: str) -> Column:
@@ -98,12 +120,12 @@ def extrapolated(samples: DataFrame, keys: list[str], step: int, width: int, cou
     """rate (counter, per second), increase (counter) or delta (neither): the change between a window's first and last
     sample, carried to the window's edges but by half a spacing only where a sample is missing there, and for counters
     never below zero. What a counter lost at its resets is summed inside the window alone. Windows of fewer than two
-    samples have no value."""
-    tiles = _pairs(samples, keys, _fine(step, width))
+    samples, or whose samples all have one time, have no value."""
+    tiles = pairs(samples, keys, _fine(step, width))
     lost = _summed("lost") if counter else F.lit(0.0)
     ends = _dealt(tiles, step, width).groupBy(*keys, "t").agg(F.sum("n").alias("n"), F.min("a").alias("first"), F.max_by("b", "tile").alias("last"), lost.alias("lost")).filter("n >= 2")
     ends = ends.select(*keys, "t", "n", F.col("first.ts_ms").alias("a"), F.col("last.ts_ms").alias("b"), F.col("first.value").alias("first"), (F.col("last.value") - F.col("first.value") + F.col("lost")).alias("change"))
-    ends = ends.withColumn("sampled", (F.col("b") - F.col("a")) / 1000)
+    ends = ends.filter("b > a").withColumn("sampled", (F.col("b") - F.col("a")) / 1000)
     spacing = F.col("sampled") / (F.col("n") - 1)
     ahead, after = (F.col("a") - (F.col("t") - width)) / 1000, (F.col("t") - F.col("b")) / 1000
     ahead = F.when(ahead >= spacing * 1.1, spacing / 2).otherwise(ahead)
@@ -117,16 +139,17 @@ def extrapolated(samples: DataFrame, keys: list[str], step: int, width: int, cou
 def pairwise(samples: DataFrame, keys: list[str], step: int, width: int, resets: bool) -> DataFrame:
     """changes or resets in each window."""
     name = "resets" if resets else "changes"
-    return _dealt(_pairs(samples, keys, _fine(step, width)), step, width).groupBy(*keys, "t").agg(_summed(name).alias("value"))
+    return _dealt(pairs(samples, keys, _fine(step, width)), step, width).groupBy(*keys, "t").agg(_summed(name).alias("value"))
 
 
 def instant(samples: DataFrame, keys: list[str], step: int, width: int, per_second: bool) -> DataFrame:
     """irate (per second, a fall counts from zero) or idelta: a window's last two samples."""
-    tiles = _pairs(samples, keys, _fine(step, width))
+    tiles = pairs(samples, keys, _fine(step, width))
     before_ts, before = F.coalesce("b.before_ts", "p.ts_ms"), F.coalesce("b.before", "p.value")
     tiles = tiles.select(*keys, "tile", F.struct(F.col("b.ts_ms").alias("ts_ms"), F.col("b.value").alias("value"), before_ts.alias("prev_ts"), before.alias("prev")).alias("s"))
     last = _dealt(tiles, step, width).groupBy(*keys, "t").agg(F.max_by("s", "tile").alias("s")).filter(F.col("s.prev_ts") > F.col("t") - width)
     change = F.col("s.value") - F.col("s.prev")
     if per_second:
-        change = F.when(F.col("s.value") < F.col("s.prev"), F.col("s.value")).otherwise(change) / ((F.col("s.ts_ms") - F.col("s.prev_ts")) / 1000)
+        last = last.filter(F.col("s.ts_ms") > F.col("s.prev_ts"))
+        change = F.when(falls(F.col("s.value"), F.col("s.prev")), F.col("s.value")).otherwise(change) / ((F.col("s.ts_ms") - F.col("s.prev_ts")) / 1000)
     return last.select(*keys, "t", change.alias("value"))

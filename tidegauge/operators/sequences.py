@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.spans import in_spans  # noqa: F401  part of what sequences offer
+
 # Smoothing and limit of the EWMA, reference value and limit of the CUSUM, in standard deviations.
 EWMA_LAMBDA, EWMA_L = 0.2, 3.0
 CUSUM_K, CUSUM_H = 0.5, 5.0
@@ -161,16 +163,3 @@ def ratio(numerator: DataFrame, denominator: DataFrame, keys: list[str]) -> Data
     """numerator / denominator on the denominator's times: what the numerator lacks is zero, a zero denominator null."""
     joined = denominator.withColumnRenamed("value", "whole").join(numerator.withColumnRenamed("value", "part"), [*keys, "ts_ms"], "left")
     return joined.select(*keys, "ts_ms", F.try_divide(F.coalesce("part", F.lit(0.0)), F.col("whole")).alias("value"))
-
-
-def in_spans(rows: DataFrame, spans: DataFrame, step: int, max_broadcast: int = 100_000) -> DataFrame:
-    """rows with failed: does the bucket (ts_ms - step, ts_ms] overlap one of the spans [a, b)? Overlapping spans are merged
-    first. Spans are dealt to the buckets that they meet, so that rows and spans join on equal times."""
-    order = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    n = spans.limit(max_broadcast + 1).count()
-    if n > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} failed spans")
-    merged = spans.filter("b > a").withColumn("reach", F.max("b").over(order))
-    merged = merged.withColumn("group", F.sum(F.when(F.col("reach") >= F.col("a"), 0).otherwise(1)).over(Window.orderBy("a"))).groupBy("group").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    met = merged.select(F.explode(F.sequence((F.floor(F.col("a") / step) * step + step).cast("long"), (F.ceil(F.col("b") / step) * step).cast("long"), F.lit(step).cast("long"))).alias("ts_ms")).distinct()
-    return rows.join(met.withColumn("failed", F.lit(True)), "ts_ms", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))

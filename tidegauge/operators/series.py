@@ -7,6 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.quantiles import quantiles
+from tidegauge.functions.timegrid import bucket_end
+from tidegauge.operators.ranges import pairs
+
 
 def ar1(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
     """Lag-1 coefficient through the origin, from neighbours one step apart, clipped to 0.99."""
@@ -20,27 +24,40 @@ def ar1(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
 
 def robust_sigma(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """1.4826 times the median absolute deviation."""
-    mid = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    return rows.join(mid, keys).groupBy(*keys, "median").agg((F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)) * 1.4826).alias("sigma"))
+    mid = quantiles(rows, keys, value, {"median": 0.5}).drop("n")
+    far = rows.join(mid, keys).withColumn("__far", F.abs(F.col(value) - F.col("median")))
+    return mid.join(quantiles(far, keys, "__far", {"mad": 0.5}), keys).select(*keys, "median", (F.col("mad") * 1.4826).alias("sigma"))
+
+
+def scan(rows: DataFrame, keys: list[str], tile: int = 3_600_000) -> DataFrame:
+    """Counts that tell a counter from a gauge. Neighbours are met inside tiles and over their borders, so no task holds
+    a whole series; a difference with NaN in it is neither a rise nor a fall nor none."""
+    whole = F.when(~F.isnan("value"), (F.col("value") == F.floor("value")).cast("int"))
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0).alias("negatives"), F.min(whole).alias("integral"))
+    total = lambda name: F.sum(F.col(name) + F.col(f"border_{name}"))
+    steps = pairs(rows, keys, tile).groupBy(*keys).agg(total("rises").alias("increases"), total("resets").alias("decreases"), total("known").alias("known"))
+    constants = F.col("known") - F.col("increases") - F.col("decreases")
+    return own.join(steps, keys).select(*keys, "n", "negatives", "increases", "decreases", constants.alias("constants"), "integral")
 
 
-def scan(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts that tell a counter from a gauge."""
-    d = F.col("value") - F.lag("value").over(Window.partitionBy(*keys).orderBy("ts_ms"))
-    return rows.withColumn("d", d).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0).alias("negatives"), F.count_if(F.col("d") > 0).alias("increases"), F.count_if(F.col("d") < 0).alias("decreases"), F.count_if(F.col("d") == 0).alias("constants"), F.min((F.col("value") == F.floor("value")).cast("int")).alias("integral"))
+def distances(rows: DataFrame, keys: list[str], tile: int = 3_600_000) -> DataFrame:
+    """(keys, d): from each sample but a series' first to the one before it, met inside tiles and over their borders."""
+    own = rows.select(*keys, "ts_ms", bucket_end(F.col("ts_ms"), tile).alias("tile"))
+    inside = own.withColumn("d", F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(*keys, "tile").orderBy("ts_ms"))).filter("d IS NOT NULL")
+    ends = own.groupBy(*keys, "tile").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"))
+    borders = ends.withColumn("d", F.col("a") - F.lag("b").over(Window.partitionBy(*keys).orderBy("tile"))).filter("d IS NOT NULL")
+    return inside.select(*keys, "d").unionByName(borders.select(*keys, "d"))
 
 
 def spacing(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Median distance of samples, for series of three or more."""
-    d = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(*keys).orderBy("ts_ms"))
-    return rows.withColumn("d", d).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("spacing")).filter("n >= 3")
+    return quantiles(distances(rows, keys), keys, "d", {"spacing": 0.5}).filter("n >= 2").select(*keys, (F.col("n") + 1).alias("n"), "spacing")
 
 
 def hour_of_week(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Quartiles by hour of the week, Monday 00:00 UTC being 0."""
     hour = F.pmod(F.floor(F.col("ts_ms") / 3_600_000) + 72, F.lit(168)).cast("int")
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*keys, hour.alias("hour")).agg(F.count("*").alias("n"), p.alias("p")).select(*keys, "hour", "n", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"))
+    return quantiles(rows.withColumn("hour", hour), [*keys, "hour"], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def fleet_spread(rows: DataFrame, value: str = "avg") -> DataFrame:

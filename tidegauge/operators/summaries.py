@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.quantiles import quantiles
+
 
 def range_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, least, 0.5th, 25th, 50th, 75th and 99.5th percentile, greatest, median absolute deviation."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.005, 0.25, 0.5, 0.75, 0.995)]))
-    first = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), p.alias("p"), F.max(value).alias("greatest"))
-    far = rows.join(first, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("p")[2]), F.lit(0.5)).alias("mad"))
-    return first.join(far, keys).select(*keys, "n", "least", *[F.col("p")[i].alias(a) for i, a in enumerate(("p005", "p25", "p50", "p75", "p995"))], "greatest", "mad")
+    p = {"least": 0.0, "p005": 0.005, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p995": 0.995, "greatest": 1.0}
+    first = quantiles(rows, keys, value, p)
+    far = rows.join(first.select(*keys, "p50"), keys).withColumn("__far", F.abs(F.col(value) - F.col("p50")))
+    return first.join(quantiles(far, keys, "__far", {"mad": 0.5}).drop("n"), keys).select(*keys, "n", *p, "mad")
 
 
 def value_stats(rows: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
@@ -24,19 +26,22 @@ def value_stats(rows: DataFrame, columns: list[str], least: int = 3) -> DataFram
 
 def characteristic_range(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """1st, 50th and 99th percentile, and 95 % intervals of each from order statistics: the ranks a normal approximation
-    of the binomial gives, found by row number, with no array of a group's values."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    qs = (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))
+    of the binomial gives. Values are counted first; ranks are found on the running counts of distinct ones."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).join(counts.groupBy(*keys).agg(F.sum("c").alias("n")), keys)
+    value_at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
 
-    def at(q: float, sign: int) -> Column:
-        rank = F.col("n") * q + sign * 1.959963984540054 * F.sqrt(F.col("n") * (q * (1 - q)))
-        return F.greatest(F.lit(1), F.least(F.col("n"), (F.floor(rank) if sign < 0 else F.ceil(rank) + 1)))
+    def rank(q: float, sign: int) -> Column:
+        at = F.col("n") * q + sign * 1.959963984540054 * F.sqrt(F.col("n") * (q * (1 - q)))
+        return F.greatest(F.lit(1), F.least(F.col("n"), (F.floor(at) if sign < 0 else F.ceil(at) + 1)))
 
     aggs = []
-    for name, q in qs:
-        aggs += [F.percentile(value, F.lit(q)).alias(name), F.max(F.when(F.col("r") == at(q, -1), F.col(value))).alias(f"{name}_lo"), F.max(F.when(F.col("r") == at(q, 1), F.col(value))).alias(f"{name}_hi")]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
+    for name, q in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99)):
+        h = (F.col("n") - 1) * F.lit(q)
+        low, high = value_at(F.floor(h) + 1), value_at(F.ceil(h) + 1)
+        aggs += [(low + (high - low) * F.max(h - F.floor(h))).alias(name), value_at(rank(q, -1)).alias(f"{name}_lo"), value_at(rank(q, 1)).alias(f"{name}_hi")]
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
 def kind_of(scanned: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ieee import INF, NAN, quantile
+from tidegauge.operators.ranges import greatest
 
 
 def aggregate(vector: DataFrame, by: list[str], how: str, q: float = 0.5) -> DataFrame:
     v = F.col("value")
-    value = {"sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "count": F.count(v).cast("double"), "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v), "quantile": quantile(v, q)}[how]
+    value = {"sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": greatest(v), "count": F.count(v).cast("double"), "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v), "quantile": quantile(v, q)}[how]
     return vector.groupBy("t", *by).agg(value.alias("value"))
 
 
