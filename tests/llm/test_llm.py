@@ -2,8 +2,12 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -241,6 +245,57 @@ def test_personal_data(docs):
     assert masked[7] == "Mail <email> or <phone>." and masked[4] is None
 
 
+def test_words_beside_base_spans_gain_no_tag():
+    """Whatever stands beside a base span, no word without a digit or @ is taken for personal data."""
+    words, texts = list("xyz") + "du an to be or we it no la el de so if in ab der und the foo bar".split(), []
+    for seed in (1, 2, 3):
+        rng = np.random.default_rng(seed)
+        for base in ("a.b@c.de", "190.137.223.204", "4111 1111 1111 1111", "+1 (826) 555-4081", "x_y@mail.example.org"):
+            for form in ("{b} {w}", "{w} {b}", "{b}, {w}.", "see {b} {w} {v}", "{v} {w} {b} {w}", "{b} {w} and more words follow here, then {v} again"):
+                texts += [form.format(b=base, w=w, v=str(rng.choice(words))) for w in words]
+    for text, (_, more) in zip(texts, pii.find(texts, pii.default_model()), strict=True):
+        assert all(any(c.isdigit() or c == "@" for c in text[a:b]) for _, a, b in more), (text, more)
+
+
+FIT = """
+import hashlib, sys
+sys.path.insert(0, {root!r})
+from tidegauge.llm import pii
+model = pii.fit(list(pii.training_windows(96)), epochs=1)
+print(hashlib.sha256(b"".join(model.p[k].tobytes() for k in sorted(model.p))).hexdigest())
+codes = [pii.symbols(t.ljust(pii.WINDOW)) for t, _ in pii.training_windows(64, seed=5)]
+import numpy as np
+tags, sure = pii.default_model().decode_with_confidence(np.stack([c[: pii.WINDOW] for c in codes]))
+print(hashlib.sha256(tags.tobytes() + sure.tobytes()).hexdigest())
+"""
+
+
+def test_network_is_the_same_bits_on_other_kernels():
+    """Fitting and reading give the same bits with other BLAS kernels, threads and vector widths of NumPy."""
+    root, found = str(Path(pii.__file__).resolve().parents[2]), set()
+    for more in ({"OPENBLAS_NUM_THREADS": "1", "OPENBLAS_CORETYPE": "Nehalem", "NPY_DISABLE_CPU_FEATURES": "AVX512F AVX512CD AVX512_SKX AVX2 FMA3"}, {"OPENBLAS_NUM_THREADS": "3", "OPENBLAS_CORETYPE": "Haswell"}, {}):
+        found.add(subprocess.run([sys.executable, "-W", "ignore", "-c", FIT.format(root=root)], env=os.environ | more, capture_output=True, text=True, check=True).stdout)
+    assert len(found) == 1
+
+
+@pytest.mark.skipif(not os.environ.get("REFIT"), reason="two to five minutes: REFIT=1 fits the weights anew")
+def test_weights_are_those_of_the_recipe():
+    want, model = pii.fitted(), pii.default_model()
+    assert all((model.p[k] == want[k] * pii.WEIGHT_UNIT).all() for k in want)
+
+
+def test_windows_of_a_long_text_are_held_in_runs(monkeypatch):
+    """Tags do not hang on how many windows are decoded at once, nor memory on the length of a text."""
+    model, rng = pii.default_model(), np.random.default_rng(8)
+    text = "".join(t + " " for t, _ in pii.training_windows(40, seed=77)) + "".join(map(str, rng.integers(0, 10, 3000))) + " (826) 555-4081"
+    base = [pii.base_spans(text)]
+    want = pii.added_spans(model, [text], base)
+    monkeypatch.setattr(pii, "DECODED", 7)
+    assert want[0] and pii.added_spans(model, [text], base) == want
+    one = pii.added_spans(model, [text, "no", text], [base[0], [], base[0]])
+    assert one == [want[0], [], want[0]]
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(fingerprints.with_next(docs.select("doc_id", "text")).collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
     assert len(rows) == 9 and rows[0]["next_text"] == "two words" and rows[-1]["next_text"].startswith("Mail")
