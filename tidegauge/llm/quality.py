@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidegauge.llm.common import fresh_names, table, text_slices
+from tidegauge.llm.common import cut_lineage, fresh_names, table, text_slices
 
 PASSAGE_BYTES = 1024
-#: The classifier is fitted on about this many labelled documents; of one with more passages than MAX_TRAIN_PASSAGES,
-#: that many are taken, evenly spread over all its text. So the driver gets 100 MB of them at most.
+#: The classifier is fitted on about this many labelled documents, each with its whole text, and on at most this many
+#: passages in all, 100 MB on the driver: in the order of a hash, documents are taken while they fit. Only a text that
+#: alone would take over a sixteenth of the passages (12 MB) is never one of them.
 TRAIN_DOCS = 6000
-MAX_TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 192_000
 #: Texts of more bytes are encoded in parts of this many; a whole number of passages.
 LONG_BYTES = 4 << 20
 HIDDEN, GATE = 24, 12
@@ -176,39 +177,37 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> AttentionMil:
     return model
 
 
-def training_passages(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Features of each text's passages, of at most MAX_TRAIN_PASSAGES spread evenly over it."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    for i in range(len(texts)):
-        raw = np.frombuffer(texts[i].as_buffer() or b"", dtype=np.uint8)
-        total = max(1, -(-len(raw) // PASSAGE_BYTES))
-        if total <= MAX_TRAIN_PASSAGES:
-            yield encode_passages(texts.slice(i, 1))[0]
-            continue
-        kept = np.linspace(0, total - 1, MAX_TRAIN_PASSAGES).round().astype(int).tolist()
-        yield np.concatenate([encode_bytes(raw[k * PASSAGE_BYTES : (k + 1) * PASSAGE_BYTES], total) for k in kept])
-
-
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> AttentionMil | None:
-    """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1, sampled by hash to about train_docs; None if there is
-    no label of either kind. Where a doc_id has several labels, the smallest counts."""
+    """Fit on labelled documents whose crc32(doc_id) mod 3 is not 1, sampled by hash to about train_docs and to at most
+    TRAIN_PASSAGES; None if there is no label of either kind. Where a doc_id has several labels the smallest counts, and
+    where it has several texts the one with the smallest hash; so a doc_id is one document, on however many rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rate = min(1.0, train_docs / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < rate * 1_000_000)
-    sample = sample.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The sample is bounded by train_docs, so it may be broadcast.
-    rows = texts.join(F.broadcast(sample), "doc_id")
+    place = F.xxhash64("doc_id", F.lit("quality"))
+    sample = known.filter(F.pmod(place, F.lit(1_000_000)) < rate * 1_000_000)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # About train_docs numbers, whatever the tables hold, so they may be broadcast.
+    met = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    passages = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE_BYTES)).cast("long")
+    met = cut_lineage(met.withColumn("passages", passages))
+    taken, room = [], TRAIN_PASSAGES
+    for r in met.filter(F.col("passages") <= TRAIN_PASSAGES // 16).select("doc_id", "passages").orderBy(place, "doc_id").collect():
+        if r["passages"] <= room:
+            taken.append((r["doc_id"],))
+            room -= r["passages"]
+    rows = met.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id").select("doc_id", "quality", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                raw = [x.astype(np.float16).tobytes() for x in training_passages(batch.column("text"))]
+                x, counts = encode_passages(batch.column("text"))
+                raw = [part.astype(np.float16).tobytes() for part in np.split(x, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(raw, type=pa.binary())], names=["doc_id", "quality", "x"])
 
     found = rows.mapInArrow(step, "doc_id long, quality int, x binary").collect()
