@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chunks import library_encoder
@@ -23,6 +23,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+#: Text of a file, where that makes more files than spark.sql.shuffle.partitions.
+FILE_TEXT_BYTES = 256 << 20
 
 _ROWS = "doc_id long, n_tokens int, ids array<int>"
 
@@ -49,7 +51,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     miniblocks of the width they need. An empty table leaves a folder with a schema and no rows."""
     spark = docs.sparkSession
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    size = dealt.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    dealt = dealt.repartitionByRange(max(partitions(spark), -(-size // FILE_TEXT_BYTES)), "doc_id").sortWithinPartitions("doc_id")
     (
         encode(dealt, vocabulary, end_id)
         .write.option("compression", "zstd")
@@ -71,6 +74,10 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
     return rows if with_ids else rows.select("doc_id", "n_tokens")
 
 
+def part_number(file: str) -> Column:
+    return F.regexp_extract(file, "^part-([0-9]+)", 1).cast("long")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row in the files, computed from the ids as read. start counts the ids
     of the rows before it in the files, which is also the order of rows with one doc_id; null doc_ids come first."""
@@ -86,10 +93,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read(spark, path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"), "doc_id", "ids")
     small = rows.mapInArrow(step, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
-    # Files are named by partition number, so their names follow doc_id order.
+    # Files are named by partition number, which follows doc_id order; names of more than 99,999 files do not.
     in_file = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     files = read(spark, path, with_ids=False).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum(F.col("n_tokens").cast("long")).alias("tokens"))
-    before = files.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "before")
+    before = files.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy(part_number("file")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "before")
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0))
     return small.join(before, "file").select("doc_id", start.cast("long").alias("start"), "n_tokens", "ids_crc32")
 
