@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidegauge.llm.common import cut_lineage, table
+from tidegauge.llm.common import cut_lineage, partitions, table
 
 K = 20
 #: The codebooks are fitted on about this many vectors.
@@ -123,7 +123,7 @@ def _blocks(n: Column) -> Column:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS, entry_share: float = ENTRY_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, its own vec_id left out; ties to the smaller
-    vec_id. queries: rows of vectors, the smallest vector counting where a vec_id repeats. Every vector is indexed.
+    vec_id; rows that share a vec_id are candidates each, in no order among themselves where their scores tie. queries: rows of vectors, the smallest vector counting where a vec_id repeats. Every vector is indexed.
     A query that takes no part has no rows."""
     rows = usable(vectors)
     books = train(rows, centroids)
@@ -161,7 +161,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, centroids: int =
             row = pa.array(owner, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(row), batch.column("embedding").take(row), pa.array(first, type=pa.int32()), pa.array(masks, type=pa.binary())], names=["query_id", "query", "first", "mask"])
 
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # A walk is slow beside the size of its query, so queries are dealt to all tasks and not gathered by their bytes.
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).repartition(partitions(rows.sparkSession), "vec_id")
     visits = cut_lineage(asked.mapInArrow(walk, "query_id long, query array<double>, first int, mask binary"))
     loads = visits.groupBy("first").agg(F.count("*").alias("n_queries"))
     shape = entries.groupBy("first").agg(F.count("*").alias("n_entries")).join(loads, "first").select("first", _blocks(F.col("n_entries")).alias("e_blocks"), _blocks(F.col("n_queries")).alias("q_blocks"))
