@@ -407,3 +407,65 @@ def test_search_ignores_vectors_that_take_no_part(spark):
     make_importable(spark)
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in multi_index.search(vectors, vectors.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
+
+
+def test_op3_registered_query_equals_brute_force(spark, tmp_path):
+    """All four columns, on families of texts around the threshold, a text with very many copies, and odd rows."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, None if i % 40 == 0 else "" if i % 41 == 0 else "hot text of a few words" if i % 4 == 0 else "Two Words" if i % 43 == 0 else None) for i in range(1, 1500, 3)]
+    docs = [(i, t) for i, t in docs if t is not None or i % 40 == 0]
+    for family in range(12):
+        base = rng.choice(words, 90).tolist()
+        for copy in range(9):
+            mine = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                mine[int(rng.integers(90))] = str(rng.choice(words))
+            docs.append((2_000 + family * 9 + copy, " ".join(mine)))
+    docs.append((5_000, docs[-1][1]))
+    pq.write_table(pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string()), "node": pa.array(["clash"] * len(docs))}), tmp_path / "documents.parquet")
+    sets = {}
+    for d, t in docs:
+        ws = [w for w in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+        sets[d] = {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = sorted((d, len(sets[d]), find(d), find(d) == d) for d in sets)
+    assert sorted(tuple(r) for r in run(spark, "op3_minhash_dedup", str(tmp_path))) == want
+
+
+def test_spread_join_deals_hot_keys(spark, monkeypatch):
+    make_importable(spark)
+    monkeypatch.setattr(minhash, "HUB_EDGES", 10)
+    rows = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(130)], "k long, v long")
+    facts = spark.createDataFrame([(k, k * 2) for k in [0, 1, *range(90, 100)]], "k long, f long")
+    for how in ("inner", "left"):
+        want = sorted((tuple(r) for r in rows.join(facts, ["k"], how).collect()), key=repr)
+        assert sorted((tuple(r) for r in minhash._spread_join(rows, facts, ["k"], minhash.F.col("v"), how).collect()), key=repr) == want
+
+
+def test_op9_one_doc_id_on_many_rows_is_one_document(spark, monkeypatch):
+    make_importable(spark)
+    docs = spark.range(6000).selectExpr("CASE WHEN id < 5000 THEN 1 ELSE id END AS doc_id", "concat('text number ', id) AS text")
+    labels = spark.range(6000).selectExpr("CASE WHEN id < 3000 THEN 1 ELSE id END AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, counts, y: seen.append((len(x), len(counts))))
+    quality.train(docs, labels, 300)
+    assert len(seen) == 1 and seen[0][0] == seen[0][1] and 60 <= seen[0][1] <= 160
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 50)
+    quality.train(docs, labels, 300)
+    assert seen[1] == (50, 50)
+
+
+def test_op5_files_follow_doc_id_order_by_number(spark):
+    names = spark.createDataFrame([("part-99999-x.parquet",), ("part-100000-x.parquet",)], "file string")
+    assert [r["n"] for r in names.select(token_files.part_number("file").alias("n")).orderBy("n").collect()] == [99_999, 100_000]
