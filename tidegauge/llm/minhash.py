@@ -248,17 +248,22 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(hubs), "a").select("a", "b", "m").unionByName(others.join(rest, "a").select("a", "b", "m"))
 
 
-def _spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], deal: Column, how: str = "inner") -> DataFrame:
-    """rows with the facts of their keys, one row a key. Rows of a key that has more than HUB_EDGES of them are dealt to
-    parts of about so many, each of which gets the facts: such keys and their numbers of parts are broadcast, in a number
-    that is checked, but never the facts."""
+def _hot(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, __parts) of the keys that have more than HUB_EDGES rows, and into how many parts they go; None if there are
+    none, or more than may be broadcast. rows should be stored: they are read for this alone."""
     many = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > HUB_EDGES)
     many = cut_lineage(many.select(*keys, F.ceil(F.col("__n") / HUB_EDGES).cast("int").alias("__parts")))
-    if not 0 < many.count() <= MAX_BROADCAST_IDS:
+    return many if 0 < many.count() <= MAX_BROADCAST_IDS else None
+
+
+def _spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], deal: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows with the facts of their keys, one row a key. Rows of a hot key are dealt to its parts, each of which gets the
+    facts: hot keys and their numbers of parts are broadcast, but never the facts."""
+    if hot is None:
         return rows.join(facts, keys, how)
     parts = F.coalesce("__parts", F.lit(1))
-    placed = rows.join(F.broadcast(many), keys, "left").withColumn("__part", F.pmod(deal, parts).cast("int")).drop("__parts")
-    spread = facts.join(F.broadcast(many), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    placed = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(deal, parts).cast("int")).drop("__parts")
+    spread = facts.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return placed.join(spread, [*keys, "__part"], how).drop("__part")
 
 
@@ -281,14 +286,16 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent
     side = lambda x: known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
     sizes_fit = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    met = _spread_join(pairs, side("a"), ["a"], F.xxhash64("b")).filter("n_a > 0")
-    near = _spread_join(met, side("b"), ["b"], F.xxhash64("a")).filter(sizes_fit & (agree >= F.lit(least_agreement(percent))))
+    hot = {x: _hot(pairs, [x]) for x in "ab"}
+    met = _spread_join(pairs, side("a"), ["a"], F.xxhash64("b"), hot["a"]).filter("n_a > 0")
+    near = _spread_join(met, side("b"), ["b"], F.xxhash64("a"), hot["b"]).filter(sizes_fit & (agree >= F.lit(least_agreement(percent))))
     near = cut_lineage(near.select("a", "b"))
     ids = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = shingle_sets(_fetch_texts(texts, nodes, ids), k)
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}"))
     both = F.size(F.array_intersect("m_a", "m_b")).cast("long")
-    met = _spread_join(_spread_join(near, whole("a"), ["a"], F.xxhash64("b")), whole("b"), ["b"], F.xxhash64("a"))
+    # What is hot among the pairs that are left was hot among all.
+    met = _spread_join(_spread_join(near, whole("a"), ["a"], F.xxhash64("b"), hot["a"]), whole("b"), ["b"], F.xxhash64("a"), hot["b"])
     checked = met.select("a", "b", (F.size("m_a") + F.size("m_b")).cast("long").alias("n"), both.alias("both"))
     return cut_lineage(checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both"))).select("a", "b"))
 
@@ -508,7 +515,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     roots = links(nodes, texts, k, percent)
     linked = chosen.join(roots, "node").select("low", "high", "root")
     of_set = sets.join(linked, ["low", "high"], "left").select("low", "high", F.coalesce("root", "node").alias("root"))
-    found = _spread_join(prints.select("doc_id", "text_hash", "n_shingles", "low", "high"), of_set, ["low", "high"], F.xxhash64("doc_id", "text_hash"), "left")
+    own = prints.select("doc_id", "text_hash", "n_shingles", "low", "high")
+    found = _spread_join(own, of_set, ["low", "high"], F.xxhash64("doc_id", "text_hash"), _hot(prints, ["low", "high"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
