@@ -450,7 +450,7 @@ def test_spread_join_deals_hot_keys(spark, monkeypatch):
     facts = spark.createDataFrame([(k, k * 2) for k in [0, 1, *range(90, 100)]], "k long, f long")
     for how in ("inner", "left"):
         want = sorted((tuple(r) for r in rows.join(facts, ["k"], how).collect()), key=repr)
-        assert sorted((tuple(r) for r in minhash._spread_join(rows, facts, ["k"], minhash.F.col("v"), how).collect()), key=repr) == want
+        assert sorted((tuple(r) for r in minhash._spread_join(rows, facts, ["k"], minhash.F.col("v"), minhash._hot(rows, ["k"]), how).collect()), key=repr) == want
 
 
 def test_op9_one_doc_id_on_many_rows_is_one_document(spark, monkeypatch):
