@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], count: str = "n") -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], count: str = "n", weibull: bool = False) -> DataFrame:
     """(keys, count, one column for each wanted quantile) of what is neither null nor NaN in value; groups without such
-    a value have no row. wanted: name -> q between 0 and 1."""
+    a value have no row. wanted: name -> q between 0 and 1. weibull: by ranks of n + 1 (type 6), no farther than the ends."""
     known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
     by = keys or ["__all"]
     known = known if keys else known.withColumn("__all", F.lit(0))
@@ -19,7 +19,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     placed = counts.withColumn("__upto", upto).join(sizes, by)
     aggregates = []
     for name, q in wanted.items():
-        h = (F.col("__n") - 1) * F.lit(q)
+        h = F.greatest(F.lit(0.0), F.least(F.col("__n") - 1.0, (F.col("__n") + 1) * F.lit(q) - 1)) if weibull else (F.col("__n") - 1) * F.lit(q)
         low = F.min(F.when(F.col("__upto") > F.floor(h), F.col("__v")))
         high = F.min(F.when(F.col("__upto") > F.ceil(h), F.col("__v")))
         share = F.max(h - F.floor(h))
