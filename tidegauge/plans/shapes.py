@@ -46,10 +46,8 @@ register(
     f"WITH RECURSIVE {_SEQ}, R AS (SELECT event_type, i, ts_ms, CASE WHEN abs(0.2 * z) > 1 THEN 0 ELSE 0.2 * z END AS e, abs(0.2 * z) > 1 AS hit FROM Q WHERE i = 1 UNION ALL SELECT Q.event_type, Q.i, Q.ts_ms, CASE WHEN abs({_STEP_E}) > 1 THEN 0 ELSE {_STEP_E} END, abs({_STEP_E}) > 1 FROM R JOIN Q ON Q.event_type = R.event_type AND Q.i = R.i + 1) SELECT event_type, ts_ms FROM R WHERE hit",
 )(lambda s, d: sequences.ewma_signals(standard(s, d), KEY, HOUR))
 _UP, _DOWN = "greatest(0, greatest(0, R.u - Q.gap * 0.5) + Q.z - 0.5)", "greatest(0, greatest(0, R.w - Q.gap * 0.5) - Q.z - 0.5)"
-register(
-    "cusum_signals",
-    f"WITH RECURSIVE {_SEQ}, R AS (SELECT event_type, i, ts_ms, greatest(0, z - 0.5)::DOUBLE AS a, greatest(0, -z - 0.5)::DOUBLE AS b, CASE WHEN greatest(z, -z) - 0.5 > 5 THEN 0 ELSE greatest(0, z - 0.5) END::DOUBLE AS u, CASE WHEN greatest(z, -z) - 0.5 > 5 THEN 0 ELSE greatest(0, -z - 0.5) END::DOUBLE AS w FROM Q WHERE i = 1 UNION ALL SELECT Q.event_type, Q.i, Q.ts_ms, {_UP}, {_DOWN}, CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_UP} END, CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_DOWN} END FROM R JOIN Q ON Q.event_type = R.event_type AND Q.i = R.i + 1) SELECT event_type, ts_ms, round(a, 6) AS up, round(b, 6) AS down FROM R WHERE greatest(a, b) > 5",
-)(lambda s, d: rounded(sequences.cusum_signals(standard(s, d), KEY, HOUR), "up", "down", digits=6))
+CUSUM = f"WITH RECURSIVE {_SEQ}, R AS (SELECT event_type, i, ts_ms, greatest(0, z - 0.5)::DOUBLE AS a, greatest(0, -z - 0.5)::DOUBLE AS b, CASE WHEN greatest(z, -z) - 0.5 > 5 THEN 0 ELSE greatest(0, z - 0.5) END::DOUBLE AS u, CASE WHEN greatest(z, -z) - 0.5 > 5 THEN 0 ELSE greatest(0, -z - 0.5) END::DOUBLE AS w FROM Q WHERE i = 1 UNION ALL SELECT Q.event_type, Q.i, Q.ts_ms, {_UP}, {_DOWN}, CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_UP} END, CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_DOWN} END FROM R JOIN Q ON Q.event_type = R.event_type AND Q.i = R.i + 1) SELECT event_type, ts_ms, round(a, 6) AS up, round(b, 6) AS down FROM R WHERE greatest(a, b) > 5"
+register("cusum_signals", CUSUM)(lambda s, d: rounded(sequences.cusum_signals(standard(s, d), KEY, HOUR), "up", "down", digits=6))
 register(
     "cusum_paths",
     f"WITH RECURSIVE {_SEQ}, R AS (SELECT event_type, i, ts_ms, greatest(0, z - 0.5)::DOUBLE AS u, greatest(0, -z - 0.5)::DOUBLE AS w FROM Q WHERE i = 1 UNION ALL SELECT Q.event_type, Q.i, Q.ts_ms, {_UP}, {_DOWN} FROM R JOIN Q ON Q.event_type = R.event_type AND Q.i = R.i + 1) SELECT event_type, ts_ms, round(u, 6) AS up, round(w, 6) AS down FROM R",

@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidegauge.plans import cadence, catalogue, comparisons, discovery, expressions, histograms, kernels, metadata, shapes, special_values  # noqa: F401  register on import
+    from tidegauge.plans import cadence, catalogue, comparisons, discovery, expressions, histograms, kernels, metadata, shapes, special_values, streams  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:
