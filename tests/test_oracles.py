@@ -28,9 +28,13 @@ def rows(df):
     return sorted((tuple(cell(x) for x in r) for r in df[names].astype(object).itertuples(index=False, name=None)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+PAIRS = {name: (registry.queries()[name], sql) for name, sql in registry.oracle_sql().items()} | registry.examples()
+
+
+@pytest.mark.parametrize("name", sorted(PAIRS))
 def test_query_equals_oracle(spark, db, name):
-    got, want = rows(registry.queries()[name](spark, SF).toPandas()), rows(db.sql(registry.oracle_sql()[name]).df())
+    query, sql = PAIRS[name]
+    got, want = rows(query(spark, SF).toPandas()), rows(db.sql(sql).df())
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert [x if x is None or isinstance(x, str) else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b] == list(a)

@@ -93,26 +93,26 @@ def kept_cycles(levels: DataFrame, keys: list[str], value: str, floor: Column) -
     five) that vary least is a run of the sorted ones; the nearest outsider joins while it fits a prediction interval of the
     subset, whose deviation is floor at least. A run grows at its ends alone, so each round is one join of its ends with the
     levels and one aggregation. Up to three cycles all belong. levels: (keys, value), floor an aggregate."""
-    sizes = levels.groupBy(*keys).agg(F.count("*").alias("k"), floor.alias("floor"))
+    sizes = levels.groupBy(*keys).agg(F.count("*").alias("__k"), floor.alias("floor"))
     ranked = levels.select(*keys, F.col(value).alias("l"), (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).alias("r"))
-    h = F.col("k") - F.when(F.col("k") <= 5, 1).otherwise(2)
-    runs = ranked.join(sizes.filter(F.col("k") > LEAST_CYCLES), keys).withColumn("h", h).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - F.col("h"))))
-    runs = runs.filter((F.col("r") >= F.col("i")) & (F.col("r") < F.col("i") + F.col("h"))).groupBy(*keys, "k", "floor", "h", "i").agg(F.var_samp("l").alias("var"))
-    first = runs.groupBy(*keys, "k", "floor", "h").agg(F.min_by("i", F.struct("var", "i")).alias("a"))
-    state = first.select(*keys, "k", "floor", "a", (F.col("a") + F.col("h") - 1).alias("b"), F.lit(True).alias("open"))
-    few = sizes.filter(F.col("k") <= LEAST_CYCLES).select(*keys, "k", "floor", F.lit(0).cast("long").alias("a"), (F.col("k") - 1).alias("b"), F.lit(False).alias("open"))
+    h = F.col("__k") - F.when(F.col("__k") <= 5, 1).otherwise(2)
+    runs = ranked.join(sizes.filter(F.col("__k") > LEAST_CYCLES), keys).withColumn("h", h).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - F.col("h"))))
+    runs = runs.filter((F.col("r") >= F.col("i")) & (F.col("r") < F.col("i") + F.col("h"))).groupBy(*keys, "__k", "floor", "h", "i").agg(F.var_samp("l").alias("var"))
+    first = runs.groupBy(*keys, "__k", "floor", "h").agg(F.min_by("i", F.struct("var", "i")).alias("a"))
+    state = first.select(*keys, "__k", "floor", "a", (F.col("a") + F.col("h") - 1).alias("b"), F.lit(True).alias("open"))
+    few = sizes.filter(F.col("__k") <= LEAST_CYCLES).select(*keys, "__k", "floor", F.lit(0).cast("long").alias("a"), (F.col("__k") - 1).alias("b"), F.lit(False).alias("open"))
     state = state.unionByName(few)
     for _ in range(2):
         inside = F.when((F.col("r") >= F.col("a")) & (F.col("r") <= F.col("b")), F.col("l"))
         end = lambda i: F.max(F.when(F.col("r") == i, F.col("l")))
-        at = ranked.join(state, keys).groupBy(*keys, "k", "floor", "a", "b", "open").agg(F.avg(inside).alias("mean"), F.stddev_samp(inside).alias("dev"), end(F.col("a") - 1).alias("below"), end(F.col("b") + 1).alias("above"))
+        at = ranked.join(state, keys).groupBy(*keys, "__k", "floor", "a", "b", "open").agg(F.avg(inside).alias("mean"), F.stddev_samp(inside).alias("dev"), end(F.col("a") - 1).alias("below"), end(F.col("b") + 1).alias("above"))
         m = F.col("b") - F.col("a") + 1
         wide = F.greatest("dev", "floor") * F.sqrt(1 + 1 / m)
         far = lambda c: F.when(F.col(c).isNull(), math.inf).when(wide > 0, F.abs(F.col(c) - F.col("mean")) / wide).otherwise(0.0)
-        at = at.withColumn("left", far("below")).withColumn("right", far("above")).withColumn("limit", _limit(F.col("k"), m))
-        grows = F.col("open") & (m < F.col("k")) & (F.least("left", "right") <= F.col("limit"))
+        at = at.withColumn("left", far("below")).withColumn("right", far("above")).withColumn("limit", _limit(F.col("__k"), m))
+        grows = F.col("open") & (m < F.col("__k")) & (F.least("left", "right") <= F.col("limit"))
         by_left = F.col("left") <= F.col("right")
-        state = at.select(*keys, "k", "floor", F.when(grows & by_left, F.col("a") - 1).otherwise(F.col("a")).alias("a"), F.when(grows & ~by_left, F.col("b") + 1).otherwise(F.col("b")).alias("b"), grows.alias("open"))
+        state = at.select(*keys, "__k", "floor", F.when(grows & by_left, F.col("a") - 1).otherwise(F.col("a")).alias("a"), F.when(grows & ~by_left, F.col("b") + 1).otherwise(F.col("b")).alias("b"), grows.alias("open"))
     met = ranked.join(state, keys)
     return met.groupBy(*keys).agg(F.max(F.when(F.col("r") == F.col("a"), F.col("l"))).alias("low"), F.max(F.when(F.col("r") == F.col("b"), F.col("l"))).alias("high"))
 

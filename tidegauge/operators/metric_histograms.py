@@ -60,6 +60,7 @@ def increases(points: DataFrame, by: list[str], step: int) -> DataFrame:
     own = F.to_json(F.map_filter("m", lambda k, _: ~k.isin("le", "__name__")))
     group = [F.coalesce(F.col("m")[b], F.lit("")).alias(b) for b in by]
     sets = sets.select("labels", *group, F.col("m")["le"].alias("le"), F.col("m")["vmrange"].alias("vmrange"), own.alias("series"))
+    _form(sets)
     layouts = sets.filter("le IS NOT NULL").groupBy(*by, "series").agg(F.sort_array(F.collect_set("le")).alias("edges")).groupBy(*by).agg(F.count_distinct("edges").alias("layouts"))
     if not layouts.filter("layouts > 1").isEmpty():
         raise ValueError("series of one group have different bucket edges: group by the label that tells them apart")

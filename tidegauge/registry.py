@@ -29,11 +29,27 @@ def _load() -> None:
     from tidegauge.plans import cadence, catalogue, comparisons, discovery, expressions, histograms, kernels, metadata, shapes, special_values, streams  # noqa: F401  register on import
 
 
+#: Rules shown on rows of their own, since events hold no case of them, and states on a fixed range of days. They are tested
+#: as the others are, but no queries: their work does not grow with the tables.
+EXAMPLES = frozenset(
+    "fleet_missing_bounds ordered_unique merge_values_native native_schema le_parse outcome histogram_quantile_edges "
+    "histogram_quantile_above_one division_edges rebucket_edges local_hour_of_week same_clock_time_before catalog_relations "
+    "role_candidates name_tokens context_definitions context_claims exposition exposition_metadata inline_series table_matrix "
+    "bucket_state_presence post_gap_flags state_coarsen state_group_merge coverage_per_series".split()
+)
+
+
 def queries() -> dict[str, Query]:
     _load()
-    return dict(_QUERIES)
+    return {name: query for name, query in _QUERIES.items() if name not in EXAMPLES}
 
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    return {name: sql for name, sql in _ORACLES.items() if name not in EXAMPLES}
+
+
+def examples() -> dict[str, tuple[Query, str]]:
+    """name -> (query, SQL) of EXAMPLES."""
+    _load()
+    return {name: (_QUERIES[name], _ORACLES[name]) for name in sorted(EXAMPLES)}
