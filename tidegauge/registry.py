@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidegauge.plans import cadence, catalogue, comparisons, discovery, expressions, histograms, kernels, metadata, shapes, special_values, streams  # noqa: F401  register on import
+    from tidegauge.plans import cadence, catalogue, comparisons, discovery, evidence, expressions, histograms, kernels, metadata, shapes, special_values, streams  # noqa: F401  register on import
 
 
 #: Rules shown on rows of their own, since events hold no case of them, and states on a fixed range of days. They are tested
