@@ -1,5 +1,7 @@
 """Bucket states, spans, quantiles, roles and cycles where the rules matter more than the tables."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +107,10 @@ def test_a_cycle_that_does_not_belong_goes(spark):
     levels = spark.createDataFrame([("a", v, 1e-4) for v in (0.0, 0.1, -0.1, 0.05, -0.05, 0.02, 4.0)] + [("b", v, 1e-4) for v in (0.0, 9.0)], "k string, l double, v double")
     got = {r["k"]: (r["low"], r["high"]) for r in cycles.kept_cycles(levels, ["k"], "l", F.sqrt(F.avg("v"))).collect()}
     assert got == {"a": (-0.1, 0.1), "b": (0.0, 9.0)}
+
+
+def test_no_window_of_the_states_is_summed_anew_for_each_row(spark):
+    """A frame from a row to the end of its series costs the square of the series."""
+    counts = spark.createDataFrame([("s", i * MIN, 1.0) for i in range(1, 9)], "k string, ts_ms long, observed double")
+    plan = cadence.by_cadence(counts, ["k"], MIN, 0, 8 * MIN)._jdf.queryExecution().analyzed().toString()
+    assert "RowFrame, -16" in plan and not re.findall(r"(?:Row|Range)Frame, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan)
