@@ -1,11 +1,13 @@
 """Bucket states, spans, quantiles, roles and cycles where the rules matter more than the tables."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge import registry
 from tidegauge.functions.quantiles import quantiles
 from tidegauge.operators import cadence, cycles, metric_histograms, roles, spans, state
 
@@ -114,3 +116,18 @@ def test_no_window_of_the_states_is_summed_anew_for_each_row(spark):
     counts = spark.createDataFrame([("s", i * MIN, 1.0) for i in range(1, 9)], "k string, ts_ms long, observed double")
     plan = cadence.by_cadence(counts, ["k"], MIN, 0, 8 * MIN)._jdf.queryExecution().analyzed().toString()
     assert "RowFrame, -16" in plan and not re.findall(r"(?:Row|Range)Frame, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan)
+
+
+def test_overlaps_are_counted_where_they_meet(spark, monkeypatch):
+    """Copies, ids with several ranges and slots in parts; no pair of the registered query goes through an aggregation."""
+    monkeypatch.setattr(spans, "SLOT_ROWS", 3)
+    rng = np.random.default_rng(4)
+    left = [(int(i % 40), "k", int(x), int(x + n)) for i, (x, n) in enumerate(zip(rng.integers(0, 10**6, 60), rng.integers(0, 10**5, 60), strict=True))]
+    right = [("k", int(x), int(x + n)) for x, n in zip(rng.integers(0, 10**6, 50), rng.integers(-10, 10**9, 50), strict=True)]
+    left, right = left + left[:25] + left[45:50], right + right[:20]
+    rows, held = spark.createDataFrame(left, "i long, k string, low long, high long"), spark.createDataFrame(right, "k string, a long, b long")
+    got = spans.overlaps_counted(rows, held, ["i"], "low", "high", ["k"]).collect()
+    want = Counter((i, a, b) for i, _, x, y in left for _, a, b in right if x < y and a < b and x < b and a < y)
+    assert len(got) == len(want) and {(r["i"], r["a"], r["b"]): r["n"] for r in got} == want
+    plan = registry.queries()["range_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
