@@ -296,6 +296,18 @@ def test_windows_of_a_long_text_are_held_in_runs(monkeypatch):
     assert one == [want[0], [], want[0]]
 
 
+def test_network_reads_what_holds_no_digit(spark):
+    """Addresses in letters alone, in texts without any digit or @, behind more text than a window holds."""
+    rng, found = np.random.default_rng(5), 0
+    hexes = lambda: "".join(rng.choice(list("abcdef"), 4))
+    rows = [(i, "it was found at another place " * (i % 30) + f"at {hexes()}:{hexes()}::{hexes()}:{hexes()} without found place to") for i in range(60)]
+    for r, (_, text) in zip(pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect(), rows, strict=True):
+        start = 30 * (r["doc_id"] % 30) + 3
+        found += f"ip:{start}:{start + 20}" in r["spans"].split(",") and r["n_ip"] == 0
+    assert found >= 20
+    assert {s for t in (rows[29][1], "a" * 5000, "x") for s in pii.window_starts(t)} == set(range(0, 5000 - pii.STRIDE, pii.READ - pii.STRIDE))
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(fingerprints.with_next(docs.select("doc_id", "text")).collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
     assert len(rows) == 9 and rows[0]["next_text"] == "two words" and rows[-1]["next_text"].startswith("Mail")

@@ -3,9 +3,8 @@
 The patterns give the base spans. The network is trained from labelled spans (see training_windows) and reads windows
 that overlap; each window is decoded by Viterbi over the CRF, and the windows of a text are reconciled into one tag a
 character: the tag of the window in which the character lies farthest from an edge. A span counts if the CRF holds each
-of its tags likely enough (MIN_CONFIDENCE); no rule follows. Windows cover every place of a text where a span of these
-kinds can stand, namely around each digit and each @, since every one of them holds one; a text dense in them is covered
-wholly. Spans of the network never replace or overlap base spans.
+of its tags likely enough (MIN_CONFIDENCE); no rule follows or chooses what is read: windows cover all of every text.
+Spans of the network never replace or overlap base spans.
 """
 
 from __future__ import annotations
@@ -40,12 +39,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-WINDOW, STRIDE, CONTEXT = 96, 48, 20
+WINDOW, STRIDE = 96, 48
+#: Characters of a window that is read; those before and after it in a text share STRIDE of them with it.
+READ = 384
 EMBED, HIDDEN = 10, 24
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.02, 11
 TRAIN_WINDOWS = 5000
-#: Windows that are decoded at once.
-DECODED = 1024
+#: Windows that are decoded at once: their gates stay in a core's cache.
+DECODED = 192
 #: Least marginal probability of a tag within a span that the network adds.
 MIN_CONFIDENCE = 0.9
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -178,13 +179,13 @@ class LstmCrf:
         w, k = self.p[f"{way}W"], HIDDEN
         # The candidate is tanh(z) = 2 logistic(2 z) - 1.
         scale = STEPS * np.repeat([1, 1, 1, 2], k)[:, None]
-        ahead = ((_fixed(self.p["E"]) @ _fixed(w[:EMBED]) + self.p[f"{way}c"]).T * scale + _ZERO)[:, codes]
+        ahead = np.ascontiguousarray((_fixed(self.p["E"]) @ _fixed(w[:EMBED]) + self.p[f"{way}c"]).T * scale + _ZERO)
         wh = np.ascontiguousarray(_fixed(w[EMBED:]).T * scale)
         (steps, n), out = codes.shape, np.empty((k, *codes.shape))
         gates, cells, tops = (np.empty((m * k, steps, n)) for m in (4, 1, 1)) if keep else (None,) * 3
         h, c = np.zeros((k, n)), np.zeros((k, n))
         for s in range(steps):
-            g = _looked_up(ahead[:, s] + wh @ h)
+            g = _looked_up(ahead.take(codes[s], axis=1, mode="clip") + wh @ h)
             c = g[k : 2 * k] * c + g[:k] * (2 * g[3 * k :] - 1)
             tc = 2 * _looked_up(c * (2 * STEPS) + _ZERO) - 1
             h = _unit(g[2 * k : 3 * k] * tc)
@@ -285,18 +286,17 @@ class LstmCrf:
         return alpha, beta, own, trans
 
     def _viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Best tags of scores (steps, n, tags). Where a path came from is asked on the way back, of the path taken alone."""
         steps, n, t = e.shape
         trans = np.where(self.allowed, self.p["trans"], -1e9)
-        best = np.where(self.first, e[0], -1e9)
-        back = np.empty((steps, n, t), dtype=np.int8)
+        own, best = e.transpose(0, 2, 1), np.empty((steps, t, n))
+        best[0] = np.where(self.first[:, None], own[0], -1e9)
         for s in range(1, steps):
-            reach = best[:, :, None] + trans
-            back[s] = reach.argmax(axis=1)
-            best = reach.max(axis=1) + e[s]
+            best[s] = (best[s - 1][:, None] + trans[:, :, None]).max(axis=0) + own[s]
         out = np.empty((n, steps), dtype=np.int8)
-        out[:, -1] = best.argmax(axis=1)
+        out[:, -1] = best[-1].argmax(axis=0)
         for s in range(steps - 1, 0, -1):
-            out[:, s - 1] = back[s, np.arange(n), out[:, s]]
+            out[:, s - 1] = (best[s - 1] + trans[:, out[:, s]]).argmax(axis=0)
         return out
 
 
@@ -407,31 +407,25 @@ def default_model() -> LstmCrf:
     return model
 
 
-def window_starts(text: str) -> Iterator[int]:
-    """Starts of overlapping windows over all digits and @ with their context, one at a time."""
-    end, m = -1, _ANCHOR.search(text)
-    while m:
-        a = max(0, m.start() - CONTEXT)
-        start = max(a, end - STRIDE) if a < end else a
-        yield start
-        end = start + WINDOW
-        m = _ANCHOR.search(text, max(m.end(), end - CONTEXT))
+def window_starts(text: str) -> Iterable[int]:
+    """Starts of overlapping windows over all of a text."""
+    return range(0, max(1, len(text) - STRIDE), READ - STRIDE) if text else ()
 
 
 class _Tags:
     """Tags of one text, reconciled as its windows come in order: where windows overlap, the one decides in which the
     character lies farthest from an edge. What no further window reaches is kept where it is tagged, and nothing else."""
 
-    _EDGE = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int8)
+    _EDGE = np.minimum(np.arange(READ), np.arange(READ)[::-1]).astype(np.int16)
 
     def __init__(self) -> None:
-        self._at, self._far, self._tag, self._p = 0, np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0)
+        self._at, self._far, self._tag, self._p = 0, np.zeros(0, np.int16), np.zeros(0, np.int8), np.zeros(0)
         self._kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, start: int, tags: np.ndarray, sure: np.ndarray) -> None:
         self._settle(start)
-        n = WINDOW - len(self._far)
-        far = np.concatenate([self._far, np.full(n, -1, np.int8)])
+        n = READ - len(self._far)
+        far = np.concatenate([self._far, np.full(n, -1, np.int16)])
         nearer = self._EDGE > far
         self._far = np.where(nearer, self._EDGE, far)
         self._tag = np.where(nearer, tags, np.concatenate([self._tag, np.zeros(n, np.int8)]))
@@ -448,7 +442,7 @@ class _Tags:
 
     def spans(self) -> Iterator[Span]:
         """Maximal runs of one kind that are likely enough; a begin tag starts anew."""
-        self._settle(self._at + WINDOW)
+        self._settle(self._at + READ)
         if not self._kept:
             return
         at, tag, p = (np.concatenate(x) for x in zip(*self._kept, strict=True))
@@ -476,9 +470,9 @@ def added_spans(model: LstmCrf, texts: list[str], base: list[list[Span]], starts
             out[now] = [(kind, a, b) for kind, a, b in held.spans() if not (k := bisect.bisect_left(starts, b)) or reach[k - 1] <= a]
 
     while part := list(itertools.islice(windows, DECODED)):
-        codes = np.zeros((len(part), WINDOW), dtype=np.int64)
+        codes = np.zeros((len(part), READ), dtype=np.int64)
         for k, (i, s) in enumerate(part):
-            got = symbols(texts[i][s : s + WINDOW])
+            got = symbols(texts[i][s : s + READ])
             codes[k, : len(got)] = got
         tags, sure = model.decode_with_confidence(codes)
         tags[codes == 0] = 0
@@ -516,10 +510,6 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _suspects(texts: pa.Array) -> np.ndarray:
-    return pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False)
-
-
 def detect(docs: DataFrame, model: LstmCrf | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every text, null as empty; base spans are
     counted and digested, spans holds them and the added ones."""
@@ -530,7 +520,7 @@ def detect(docs: DataFrame, model: LstmCrf | None = None) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 texts = pc.fill_null(batch.column("text"), "")
-                rows = np.flatnonzero(_suspects(texts))
+                rows = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
                 counts = {k: np.zeros(batch.num_rows, dtype=np.int64) for k in KINDS}
                 sums, spans = [empty] * batch.num_rows, [""] * batch.num_rows
                 for i, (base, more) in zip(rows.tolist(), find(texts.take(pa.array(rows)).to_pylist(), net), strict=True):
@@ -553,7 +543,7 @@ def mask(docs: DataFrame, model: LstmCrf | None = None) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 col = batch.column("text")
-                rows = np.flatnonzero(_suspects(pc.fill_null(col, "")))
+                rows = np.flatnonzero(pc.binary_length(pc.fill_null(col, "")).to_numpy(zero_copy_only=False))
                 if len(rows):
                     texts = col.take(pa.array(rows)).to_pylist()
                     new = {i: redact(t, base + more) for i, t, (base, more) in zip(rows.tolist(), texts, find(texts, net), strict=True)}
