@@ -1,9 +1,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidegauge import registry
 from tidegauge.query import parser, planner
-from tidegauge.query.evaluate import Evaluator
+from tidegauge.query.evaluate import Evaluator, points
 
 
 @pytest.mark.parametrize("text", ['sum by (job) (rate(x_total{a="b"}[5m] offset 1h)) / 2', "a / on(x) group_left(y) b", "max_over_time(rate(x[1m])[5m:30s])", 'm{a!~"x|y\\"z"} @ end()', "-(a ^ -2) unless ignoring(q) b", "topk without (a) (3, b) > bool 2"])
@@ -89,3 +91,16 @@ def test_label_values(spark):
     e = Evaluator(_points(spark, rows))
     assert [r["value"] for r in e.label_values("i", parser.parse("a").matchers, 10).collect()] == ["1", "2"]
     assert [r["value"] for r in e.label_values("i", parser.parse('{i=~".+"}').matchers, 10, end=5).collect()] == ["1", "3"]
+
+
+def test_an_expression_reads_the_metrics_it_names_alone(spark):
+    """A metric that fails when it is read does no harm to an expression without its name; a pattern reads all."""
+    rows = spark.createDataFrame([("a", 1_000, 1.0), ("b", 2_000, 2.0)], "job string, ts_ms long, value double")
+    broken = rows.withColumn("value", F.raise_error(F.lit("read")).cast("double"))
+    by_name = Evaluator({"good": points(rows, "good", ["job"]), "bad": points(broken, "bad", ["job"])})
+    total = lambda text: [(r["labels"], r["value"]) for r in by_name.range(text, 60_000, 60_000, 60_000).collect()]
+    assert total("sum(good) / scalar(count(good))") == [("{}", 1.5)] and total('sum(good{job="b"})') == [("{}", 2.0)]
+    with pytest.raises(Exception, match="read"):
+        total('sum({__name__=~"good|bad"})')
+    plan = registry.queries()["expr_group_left"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "row_number" not in plan

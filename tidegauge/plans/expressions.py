@@ -26,7 +26,7 @@ _H = f"{_GI}, H AS (SELECT t, event_type, arg_max(value, ts_ms) AS value FROM gr
 def evaluate(spark: SparkSession, sf_dir: str, text: str, *labels: str) -> DataFrame:
     """An expression's value at the grid's times, with the named labels as columns."""
     gauge = src.samples(spark, sf_dir).groupBy("event_type", "instance", "ts_ms").agg(F.max("value").alias("value"))
-    both = points(gauge, "value", ["event_type", "instance"]).unionByName(points(src.counter(spark, sf_dir), "hits", ["event_type"]))
+    both = {"value": points(gauge, "value", ["event_type", "instance"]), "hits": points(src.counter(spark, sf_dir), "hits", ["event_type"])}
     ends = src.samples(spark, sf_dir).agg(F.min("ts_ms"), F.max("ts_ms")).first()
     start, stop = (-(-x // SIX) * SIX for x in ends)
     rows = Evaluator(both).range(text, start, stop, SIX)
