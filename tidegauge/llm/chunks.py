@@ -10,9 +10,9 @@ LONG_BYTES goes through in parts that begin with such a space.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -160,11 +160,15 @@ class _Memo:
         before, missing = len(self.keys), pc.is_null(at)
         new = coded.dictionary.filter(missing)
         self.keys = pa.concat_arrays([self.keys, new])
-        found = list(map(self.encode, new.to_pylist()))
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        # Ids go into one array as they come: a list for each string would be walked by the garbage collector again and again.
+        found, lengths = array("I"), np.empty(len(new), dtype=np.int64)
+        for i, string in enumerate(new.to_numpy(zero_copy_only=False)):
+            ids = self.encode(string)
+            lengths[i] = len(ids)
+            found.extend(ids)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, np.array(found, dtype=np.uint32)])
         numbers = pc.fill_null(at, 0).to_numpy().copy()
         numbers[missing.to_numpy(zero_copy_only=False)] = np.arange(before, before + len(new))
         return numbers[coded.indices.to_numpy()]
@@ -190,7 +194,7 @@ class _Units:
 
     def __init__(self, tokenizer, keeps_space: bool) -> None:  # noqa: ANN001  tokenizers.Tokenizer
         letters = byte_letters()
-        self.tokenizer, self.keeps_space = tokenizer, keeps_space
+        self.tokenizer, self.model, self.keeps_space = tokenizer, tokenizer.model, keeps_space
         self.to_letters = {chr(b): letters[b] for b in range(256)}
         self.words, self.marks = _Memo(self._ids), _Memo(self._ids)
 
@@ -201,7 +205,7 @@ class _Units:
             mapped = unit.replace(" ", self.to_letters[" "])
         else:
             mapped = "".join(map(self.to_letters.__getitem__, unit.encode().decode("latin-1")))
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return [t.id for t in self.model.tokenize(mapped)]
 
     def __call__(self, chunks: pa.Array, before: pa.Array) -> Encoded:
         for memo in (self.words, self.marks):
