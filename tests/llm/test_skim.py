@@ -1,10 +1,13 @@
-"""The network's first reading of windows, in single precision."""
+"""The network's first reading of windows, in single precision, and the size of packing's slices."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from tidegauge.llm import pii
+from tidegauge.llm import packing, pii
+from tidegauge.llm.chunks import ChunkEncoder
+from tidegauge.llm.common import SLICE_BYTES
 
 
 def _texts() -> list[str]:
@@ -51,3 +54,22 @@ def test_windows_of_plain_words_are_skimmed_alone(monkeypatch):
     plain = "it was found at another place " * 200
     assert pii.added_spans(pii.default_model(), [plain, plain + "(826) 555-4081"], [[], []])[0] == []
     assert 0 < sum(decoded) <= 2 < len(pii.window_starts(plain))
+
+
+def test_packing_encodes_small_slices(spark, monkeypatch):
+    """No call to the encoder gets more text than a small slice, unless one text alone is longer."""
+    sizes, encode = [], ChunkEncoder.encode_batch
+    monkeypatch.setattr(ChunkEncoder, "encode_batch", lambda self, texts, end_id=None: sizes.append(sum(len(t.as_py()) for t in texts)) or encode(self, texts, end_id))
+
+    class Rows:
+        def select(self, *_):  # noqa: ANN202
+            return self
+
+        def mapInArrow(self, step, _):  # noqa: ANN001, ANN202, N802
+            return step
+
+    text = "many plain words in a row " * 4000
+    batch = pa.record_batch({"doc_id": pa.array(range(30), pa.int64()), "text": pa.array([text] * 30), "copy": pa.array(range(30), pa.int64())})
+    found = pa.Table.from_batches(list(packing.pieces(Rows())(iter([batch]))))
+    assert len(sizes) > 1 and max(sizes) <= SLICE_BYTES
+    assert set(found["doc_id"].to_pylist()) == set(range(30))
