@@ -73,3 +73,40 @@ def test_packing_encodes_small_slices(spark, monkeypatch):
     found = pa.Table.from_batches(list(packing.pieces(Rows())(iter([batch]))))
     assert len(sizes) > 1 and max(sizes) <= SLICE_BYTES
     assert set(found["doc_id"].to_pylist()) == set(range(30))
+
+
+def test_padding_is_not_skimmed(monkeypatch):
+    """Windows that their texts do not fill are read little farther than their texts, and their spans are the same."""
+    read, scores = [], pii.Skim.scores
+    monkeypatch.setattr(pii.Skim, "scores", lambda self, codes, *pads: read.append(codes.size) or scores(self, codes, *pads))
+    texts = [w for w, _ in pii.training_windows(200, seed=320)]
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(pii.default_model(), texts, base)
+    assert sum(read) <= len(texts) * (pii.WINDOW + 16) < len(texts) * pii.READ
+    monkeypatch.setattr(pii, "MARGIN", np.inf)
+    assert got == pii.added_spans(pii.default_model(), texts, base) and sum(map(len, got)) > 20
+
+
+def test_the_backward_lstm_has_read_padding_that_is_left_out():
+    codes = np.zeros((40, pii.READ), dtype=np.int64)
+    for k, (text, _) in enumerate(pii.training_windows(40, seed=321)):
+        codes[k, : len(text)] = pii.symbols(text)
+    skim = pii.Skim(pii.default_model())
+    whole, short = skim.scores(codes), skim.scores(codes[:, :112], pii.READ - 112)
+    assert np.abs(short - whole[:112]).max() < 0.01
+    gains, lengths = skim.gains(codes), np.count_nonzero(codes, axis=1)
+    near = gains > -pii.MARGIN
+    assert near.sum() > 20 and (skim.gains_of_texts(codes, lengths)[near] > gains[near] - 0.01).all()
+
+
+def test_skimmed_cells_may_be_large():
+    """Cells that count for a whole window leave single precision's powers, and are held within them."""
+    model = pii.LstmCrf()
+    for way in "fb":
+        model.p[f"{way}W"] = np.zeros_like(model.p[f"{way}W"])
+        model.p[f"{way}c"] = np.repeat(np.array([12.0, 20.0, 0.0, 6.0]), pii.HIDDEN) * np.repeat([[1, 1, 1, -1], [1, 1, 1, 1]], pii.HIDDEN // 2, axis=0).T.reshape(-1)
+    codes = np.ones((5, pii.READ), dtype=np.int64)
+    exact = model.scores(codes)
+    exact = (exact[:, :, 1:] - exact[:, :, :1]).transpose(0, 2, 1)[:, [0, 2, 4, 6, 1, 3, 5, 7]]
+    skim = pii.Skim(model)
+    assert skim.fits and np.abs(skim.scores(codes) - exact).max() < 0.1 * np.abs(exact).max()
