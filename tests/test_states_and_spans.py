@@ -131,3 +131,28 @@ def test_overlaps_are_counted_where_they_meet(spark, monkeypatch):
     assert len(got) == len(want) and {(r["i"], r["a"], r["b"]): r["n"] for r in got} == want
     plan = registry.queries()["range_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_pairs_of_long_spans_take_little_disk(spark, tmp_path):
+    """Spans over all times: pairs are written part by part, where ids repeat; before, they took more than a byte each."""
+    ranges = spark.range(6_000).select("id", F.lit("k").alias("k"), (F.xxhash64("id") % 10**9).alias("low")).withColumn("high", F.col("low") + 1 + F.col("id") % 60_000)
+    held = spark.range(300).select(F.lit("k").alias("k"), (-2 * 10**9 - F.xxhash64("id") % 10**9).alias("a"), (3 * 10**9 + F.xxhash64(-F.col("id")) % 10**9).alias("b"))
+    spans.overlaps_counted(ranges, held, ["id"], "low", "high", ["k"]).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.distinct().count() == 6_000 * 300 and got.agg(F.sum("n")).first()[0] == 6_000 * 300
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * 6_000 * 300
+
+
+@pytest.mark.parametrize("rows_of_part", [2, 7, 1_024])
+def test_parts_of_rows_meet_every_span_once(spark, monkeypatch, rows_of_part):
+    """Ranges of all lengths, many of one time or alike, and spans that begin or end where ranges and parts do."""
+    monkeypatch.setattr(spans, "SLOT_ROWS", rows_of_part)
+    rng = np.random.default_rng(5)
+    lows, ends = rng.integers(-50, 50, 90) * MIN, 10 ** rng.integers(0, 9, 90)
+    left = [(i, "ab"[i % 2] if i % 11 else None, int(x), int(x + n)) for i, (x, n) in enumerate(zip(lows, ends, strict=True))]
+    right = [(j, "ab"[j % 2], int(x), int(x + n)) for j, (x, n) in enumerate(zip(rng.integers(-60, 60, 70) * MIN, rng.integers(-1, 40, 70) * MIN, strict=True))]
+    rows, held = spark.createDataFrame(left, "i long, k string, low long, high long"), spark.createDataFrame(right, "j long, k string, a long, b long")
+    met = spans.containing(rows, held, ["k"], "low", "high")
+    assert met.columns == ["k", "i", "low", "high", "j", "a", "b"]
+    got = sorted((r["i"], r["j"]) for r in met.collect())
+    assert got == sorted((i, j) for i, k, x, y in left for j, h, a, b in right if k == h and a < b and x < b and a < y)
